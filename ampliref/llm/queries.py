@@ -16,6 +16,12 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ampliref.llm import pii
+
+    return pii.report(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ampliref.llm.minhash import near_duplicates
 
@@ -28,6 +34,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ampliref.llm import secret_scan
+
+    return secret_scan.report(secret_scan.secrets(table(spark, sf_dir, "documents")))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ampliref.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1)).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ampliref.llm.exact_dedup import exact_duplicates
 
@@ -40,7 +58,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_minhash_neardup, op5_token_counts, op9_exact_dedup, op10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op4_minhash_neardup, op5_token_counts, op6_secrets, op7_mixing, op9_exact_dedup, op10_pieces)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
