@@ -22,6 +22,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ampliref.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out())
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ampliref.llm.minhash import near_duplicates
 
@@ -46,6 +54,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ampliref.llm.spotsigs import edit_report
+
+    return edit_report(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ampliref.llm.exact_dedup import exact_duplicates
 
@@ -58,7 +72,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op4_minhash_neardup, op5_token_counts, op6_secrets, op7_mixing, op9_exact_dedup, op10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_quality, op4_minhash_neardup, op5_token_counts, op6_secrets, op7_mixing, op8_spotsigs, op9_exact_dedup, op10_pieces)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
