@@ -102,3 +102,12 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
     close(True)
     yield from flush()
+
+
+def unique_rows(docs: DataFrame, keep: str = "min") -> DataFrame:
+    """The rows of docs, all columns, that exact_duplicates() keeps: one of each group of equal texts."""
+    found = exact_duplicates(docs, keep).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    marked = docs.withColumn("_own", F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
+    # both columns are keys, so a large group of copies is spread by its identifiers
+    left = marked.join(found, (F.col("_own") == F.col("_sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return left.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)

@@ -256,3 +256,9 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         labels = new.select("id", "label")
         if new.where("old != label").isEmpty():
             return labels
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, that near_duplicates() keeps: of each class the document with the smallest identifier."""
+    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi").select(*docs.columns)

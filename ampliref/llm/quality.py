@@ -169,3 +169,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def held_out(column: str = "doc_id") -> Column:
     """Rows that no label is learned from."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score is at least threshold. Null and empty texts are scored by the bias."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights(), model.bias))
+    key = f"{hash(shared.value[0].tobytes())}:{model.bias}"
+    at = docs.columns.index(text_col)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _WORKER:
+            _WORKER.clear()
+            _WORKER[key] = Scores(*shared.value)
+        for batch in chunks(batches):
+            yield batch.filter(pa.array(_WORKER[key].score(batch.column(at).to_pylist()) >= threshold))
+
+    return docs.mapInArrow(kernel, docs.schema)

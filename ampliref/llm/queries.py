@@ -16,6 +16,12 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ampliref.llm.wrappers import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ampliref.llm import pii
 
@@ -72,7 +78,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_quality, op4_minhash_neardup, op5_token_counts, op6_secrets, op7_mixing, op8_spotsigs, op9_exact_dedup, op10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wrappers, op2_pii, op3_quality, op4_minhash_neardup, op5_token_counts, op6_secrets, op7_mixing, op8_spotsigs, op9_exact_dedup, op10_pieces)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
