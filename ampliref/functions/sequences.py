@@ -57,12 +57,11 @@ def check_codons(sequence: Column, gene: Column, coding: Sequence[str] = ("COI",
     """
     clean = F.regexp_replace(F.upper(sequence), "[^ACGT]", "N")
     size = F.length(clean)
-    stops = F.array(*map(F.lit, STOPS[code]))
 
     def count(frame: int) -> Column:
-        n = F.floor((size - frame) / 3).cast("int")
-        codons = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(clean, (i * 3 + frame + 1).cast("int"), F.lit(3)))
-        return F.when(n > 0, F.size(F.filter(codons, lambda x: F.array_contains(stops, x)))).otherwise(0)
+        # one pass over the sequence; taking codons out by place would start from its beginning each time
+        codons = F.regexp_extract_all(F.substring(clean, frame + 1, 2_000_000_000), F.lit("[ACGTN]{3}"), F.lit(0))
+        return F.size(F.filter(codons, lambda x: x.isin(*STOPS[code])))
 
     # one array, so the counts are made once
     counts = F.array(*[count(f) for f in range(3)])

@@ -102,7 +102,7 @@ def resolve_ambiguous(df: DataFrame, species_col: str = "species", sequence_col:
     keep = table.where(F.col("action") == "keep").drop("action").withColumn("_part", F.lit(1))
     rest = [c for c in resolution.columns if c not in ("action", sequence_col)]
     listed = F.array_sort(F.collect_list(F.struct("_ord", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NA")).alias(c) for c in rest])))
-    joined = [F.array_join(F.array_distinct(F.transform("_rows", lambda x, c=c: x[c])), "|").alias(c) for c in rest]
+    joined = [F.array_join(F.array_distinct(F.col(f"_rows.`{c}`")), "|").alias(c) for c in rest]
     combined = table.where(F.col("action") == "combine").groupBy(sequence_col).agg(listed.alias("_rows")).select(sequence_col, *joined, F.col("_rows")[0]["_ord"].alias("_ord"), F.lit(2).alias("_part"))
     own = df.withColumn("_ord", F.col(order_col).cast("long") if order_col and order_col in df.columns else F.monotonically_increasing_id()).withColumn("_part", F.lit(0))
     out = _without(own, resolution, sequence_col)
