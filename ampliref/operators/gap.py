@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,9 +55,11 @@ def diagnostic_sites(df: DataFrame, min_freq: float = 0.9, max_other: int = 500)
     the marker has stands in at least min_freq of a species' sequences. Others are at most max_other drawn rows."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frame = batch.to_pandas()
-            for (marker, species), rows in frame.groupby(["marker", "species"], sort=False):
-                m = matrix(rows["aligned"].tolist())
+            groups: dict[tuple, list[str]] = {}
+            for marker, species, seq in zip(*(batch.column(c).to_pylist() for c in ("marker", "species", "aligned"))):
+                groups.setdefault((marker, species), []).append(seq)
+            for (marker, species), seqs in groups.items():
+                m = matrix(seqs)
                 at, base, n = [], [], []
                 for p in range(m.shape[1]):
                     v, c = np.unique(m[:, p], return_counts=True)
@@ -96,22 +97,27 @@ def _against(df: DataFrame, pools: DataFrame, by: list[str], most: int, kind: st
     focal = df.join(sizes, by).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     spread = pools.join(sizes, by).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
 
-    def run(key: tuple, rows: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        pool = pool.sort_values(["_hash", "id"], kind="stable")
-        species = pool["species"].to_numpy()
-        bases = matrix(pool["aligned"].tolist()) if len(pool) else None
-        for name, own in rows.groupby("species", sort=False) if len(pool) else []:
-            take = np.flatnonzero(species != name)[:most]
-            if len(take):
-                v, n = np.unique(differences(matrix(own["aligned"].tolist()), bases[take]), return_counts=True)
-                out.append(pd.DataFrame({"marker": key[0], "species": name, "kind": kind, "distance": v.astype("int32"), "n": n.astype("int64")}))
-        return pd.concat(out) if out else pd.DataFrame({"marker": [], "species": [], "kind": [], "distance": [], "n": []})
+    def run(key: tuple, rows: pa.Table, pool: pa.Table) -> pa.Table:
+        names, values, counts = [], [], []
+        if len(rows) and len(pool):
+            pool = pool.sort_by([("_hash", "ascending"), ("id", "ascending")])
+            species, bases = np.array(pool["species"].to_pylist(), object), matrix(pool["aligned"].to_pylist())
+            own, seqs = np.array(rows["species"].to_pylist(), object), rows["aligned"].to_pylist()
+            for name in sorted(set(own)):
+                take = np.flatnonzero(species != name)[:most]
+                if len(take):
+                    v, n = np.unique(differences(matrix([seqs[k] for k in np.flatnonzero(own == name)]), bases[take]), return_counts=True)
+                    names += [name] * len(v)
+                    values += v.tolist()
+                    counts += n.tolist()
+        marker = key[0].as_py()
+        return pa.table([pa.array([marker] * len(names), pa.string()), pa.array(names, pa.string()), pa.array([kind] * len(names), pa.string()), pa.array(values, pa.int32()), pa.array(counts, pa.int64())], names=["marker", "species", "kind", "distance", "n"])
 
     columns = ["species", "id", "aligned", *by]
     left = focal.select(*columns, "_block").groupBy(*by, "_block")
-    right = spread.select(*columns, "_block", F.xxhash64("id").alias("_hash")).groupBy(*by, "_block")
-    made = left.cogroup(right).applyInPandas(run, "marker string, species string, kind string, distance int, n long")
+    # renamed to themselves, as both sides come from the same rows
+    right = spread.select(*[F.col(c).alias(c) for c in columns], F.col("_block").alias("_block"), F.xxhash64("id").alias("_hash")).groupBy(*by, "_block")
+    made = left.cogroup(right).applyInArrow(run, "marker string, species string, kind string, distance int, n long")
     return made.groupBy("marker", "species", "kind", "distance").agg(F.sum("n").alias("n"))
 
 
