@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +26,36 @@ GRAMS = (2, 3, 4)
 GRAM_CHARS = 64
 #: The bound of the training sample, in documents.
 MAX_TRAIN = 4000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 #: A word like its predecessor also counts as this word.
 REPEAT = "\x00repeat"
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word and its character n-grams."""
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and of their character n-grams, and whose each is (the word's place in the list)."""
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest
-    out = [h("w" + word) % BUCKETS]
-    if word != REPEAT:
-        marked = f"<{word[:GRAM_CHARS]}>"
-        out += [h(marked[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
-    return out
+    marked = [f"<{w[:GRAM_CHARS]}>" for w in words]
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), [len(m) for m in marked])
+    at = [np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))]
+    of = [np.arange(len(words))]
+    for n in GRAMS:
+        size = max(0, len(code) - n + 1)
+        h = np.full(size, n, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                h = (h ^ code[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+        inside = owner[:size] == owner[n - 1 :][:size]
+        at.append(h[inside])
+        of.append(owner[:size][inside])
+    return (np.concatenate(at) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(of)
 
 
 def tokens(text: str | None) -> list[str]:
     words = (text or "").split()
-    return words + [REPEAT] * sum(map(str.__eq__, words, words[1:]))
+    return words + [REPEAT] * sum(map(eq, words, islice(words, 1, None)))
 
 
 @dataclass
@@ -90,11 +101,11 @@ def train(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoch
 
 
 def _counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    total: Counter = Counter()
-    for word, n in Counter(tokens(text)).items():
-        for b in features(word):
-            total[b] += n
-    return np.fromiter(total.keys(), np.int32, len(total)), np.fromiter(total.values(), np.float32, len(total))
+    words = Counter(tokens(text))
+    at, of = features(list(words))
+    total = np.bincount(at, np.fromiter(words.values(), np.float64, len(words))[of], BUCKETS)
+    at = np.flatnonzero(total)
+    return at.astype(np.int32), total[at].astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_train: int = MAX_TRAIN) -> Model:
@@ -119,26 +130,33 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_train: int = MAX
 
 
 class Scores(dict):
-    """Word -> (its features' summed shares of the output, number of features); bounded."""
+    """Word -> its place in two arrays: its features' summed shares of the output, and their number. Begins anew when full."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         super().__init__()
         self.weights, self.bias = weights, bias
+        self.sums, self.numbers = np.zeros(CACHE_WORDS), np.zeros(CACHE_WORDS)
 
-    def __missing__(self, word: str) -> tuple[float, int]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        at = features(word)
-        out = self[word] = (float(self.weights[at].sum()), len(at))
-        return out
+    def learn(self, words: list[str]) -> None:
+        first = len(self)
+        if first + len(words) > len(self.sums):  # within one batch it may grow
+            self.sums, self.numbers = np.r_[self.sums, np.zeros(len(words))], np.r_[self.numbers, np.zeros(len(words))]
+        at, of = features(words)
+        self.sums[first : first + len(words)] = np.bincount(of, self.weights[at], len(words))
+        self.numbers[first : first + len(words)] = np.bincount(of, minlength=len(words))
+        self.update(zip(words, range(first, first + len(words))))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
+        if len(self) > CACHE_WORDS // 2:
+            self.clear()
         words = [tokens(t) for t in texts]
-        flat = np.array(list(map(self.__getitem__, chain.from_iterable(words))), np.float64).reshape(-1, 2)
-        ends = np.cumsum([len(w) for w in words])
-        sums = np.vstack([np.zeros(2), np.cumsum(flat, axis=0)])
-        total = sums[ends] - sums[np.r_[0, ends[:-1]]]
-        z = np.divide(total[:, 0], total[:, 1], out=np.zeros(len(words)), where=total[:, 1] > 0) + self.bias
+        if misses := sorted(set(chain.from_iterable(words)).difference(self)):
+            self.learn(misses)
+        sizes = np.array([len(w) for w in words], np.int64)
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        text = np.repeat(np.arange(len(texts)), sizes)
+        total, number = (np.bincount(text, v[at], len(texts)) for v in (self.sums, self.numbers))
+        z = np.divide(total, number, out=np.zeros(len(texts)), where=number > 0) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
