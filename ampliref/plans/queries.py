@@ -552,8 +552,9 @@ for _format, _header in (
 @registered("fasta_roundtrip")
 def fasta_roundtrip(spark, d):
     import tempfile
+    import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{root.rstrip('/')}/fasta-{id(object())}"
+    path = f"{root.rstrip('/')}/fasta-{uuid.uuid4().hex}"
     fasta.write_fasta(export.headers(views.refs(spark, d), "qiime2", "row_ord"), path)
     return fasta.read_fasta(spark, path).select("asv_id", "sequence")
