@@ -1,6 +1,6 @@
 """Exact deduplication by a content sort.
 
-Sampled splitters range-partition (normalised text, doc_id), so a large group of equal texts is itself split over
+Sampled splitters range-partition (beginning of the normalised text, its hash, doc_id), so a large group of equal texts is itself split over
 several partitions; an external sort puts equals next to each other; each task compares neighbours in full as it
 streams. A run that touches the edge of its partition may go on in the next one, so edge runs - two a partition at
 most - are summed up by digest and broadcast; every other run is already whole.
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ampliref.llm.common import lower_ascii, materialize
 
+#: Characters of a text's beginning by which it is placed; hashes place texts that begin alike, whole texts decide what is equal.
+HEAD = 32
 _RUNS = "doc_id long, text_sha256 string, local_keep long, local_size long, edge boolean, top boolean, part int"
 
 
@@ -33,7 +35,9 @@ def exact_duplicates(docs: DataFrame, keep: str = "min", id_col: str = "doc_id",
     # the row that stays comes first within its run; nulls are the lowest identifiers
     order = F.col("doc_id").asc_nulls_first() if keep == "min" else F.col("doc_id").desc_nulls_last()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = norm.repartitionByRange(parts, F.col("text"), order).sortWithinPartitions(F.col("text"), order)
+    # splitters are drawn from short keys: texts in the order of their beginning, then of a hash, so the driver holds none whole
+    keyed = norm.withColumns({"head": F.substring("text", 1, HEAD), "mark": F.xxhash64("text")})
+    ranged = keyed.repartitionByRange(parts, "head", "mark", order).sortWithinPartitions("head", "mark", "text", order).select("doc_id", "text")
     runs = materialize(ranged.mapInArrow(_neighbours, _RUNS), "exact-runs")
     edges = runs.where("edge").select("text_sha256", "part", "local_keep", "local_size").distinct()
     best = F.min if keep == "min" else F.max
