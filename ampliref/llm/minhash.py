@@ -2,9 +2,9 @@
 
 Two permutations give all coordinates: sigma scatters a document's shingles over a ring of RING places, and coordinate k
 is the least value of pi, circularly shifted by k, over those places. Shingle sets that are equal count once. Bands of
-coordinates make buckets; within a bucket documents are compared with a centre, the member that shares most buckets with
-others, never each with each. A bucket whose members are not yet one class gets another centre in the next round, until
-every pair of its members is linked through others or has been compared. Links hold on full sets.
+coordinates make buckets; within a bucket documents are verified against a centre, the member that shares most buckets
+with others, which makes most groups one class at once. Where members of a bucket are still in different classes, their
+sketches are compared in blocks, and likely pairs verified too. Links hold on full sets.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ RING = 1 << 20
 #: Bits of the filter that spares texts which no candidate pair needs; its size doesn't depend on the data.
 FILTER_BITS = 1 << 26
 WORD_CACHE = 500_000
-#: Buckets this small that are left after the first round are compared each with each: at most SMALL times their rows.
-SMALL = 8
+#: Members of a bucket that are compared at once, and how far below the wanted likeness sketches may agree.
+BLOCK_ROWS, MARGIN = 1024, 0.13
 _BLOCK = 4096  # shingles hashed at once
 
 
@@ -160,35 +160,91 @@ def _links(reps: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFr
         return spark.createDataFrame([], "a long, b long")
     sets = _sets(met, rows, width)
     ratio = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)  # noqa: E731  no pair beyond it can be linked
-    # at first each representative is a class of its own
-    links, tried, left, done = None, None, met.withColumn("label", F.col("rep")), None
-    while True:
-        # the member that shares most buckets stands in the middle of its group
-        centre = left.groupBy("bucket").agg(F.min_by(F.struct(F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("label").alias("own")), F.struct(-F.col("hub"), F.col("rep"))).alias("c")).select("bucket", "c.*")
-        centre = materialize(centre, "minhash-centres")
-        pairs = left.join(centre, "bucket").where((F.col("label") != F.col("own")) & ratio(F.col("n"), F.col("m")))
-        pairs = pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-        if tried is not None:
-            few = F.col("alive") <= SMALL
-            x, y = left.where(few), left.where(few).select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            small = x.join(y, "bucket").where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & ratio(F.col("n"), F.col("n2")))
-            pairs = pairs.unionByName(small.select(F.col("rep").alias("a"), F.col("rep2").alias("b"))).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs.distinct(), "minhash-pairs")
-        found = materialize(_verified(pairs, sets, percent), "minhash-links")
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        spent = centre.select("bucket", F.col("centre").alias("rep"))
-        done = spent if done is None else done.unionByName(spent)
-        labels = components(links, "a", "b").withColumnRenamed("id", "rep")
-        # members that no round has put in the middle, in buckets whose members are not one class yet
-        open_ = met.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(done, ["bucket", "rep"], "left_anti")
-        if tried is not pairs:  # small buckets are finished
-            open_ = open_.join(left.where(F.col("alive") <= SMALL).select("bucket").distinct(), "bucket", "left_anti")
-        open_ = materialize(open_, "minhash-open")
-        state = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("alive"), F.min("label").alias("low"), F.max("label").alias("high")).where("alive > 1 and low != high")
-        left = materialize(open_.join(state.select("bucket", "alive"), "bucket"), "minhash-left")
-        if left.isEmpty():
-            return links
+    # the member that shares most buckets stands in the middle of its group
+    centre = met.groupBy("bucket").agg(F.min_by(F.struct(F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("hub").alias("height")), F.struct(-F.col("hub"), F.col("rep"))).alias("c")).select("bucket", "c.*")
+    stars = met.join(materialize(centre, "minhash-centres"), "bucket").where((F.col("rep") != F.col("centre")) & ratio(F.col("n"), F.col("m")))
+    ordered = lambda df: df.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    # first the one centre that stands highest among those of a document's buckets, then those of classes that it isn't in
+    best = stars.groupBy("rep").agg(F.min_by("centre", F.struct(-F.col("height"), F.col("centre"))).alias("centre"))
+    pairs = materialize(ordered(best), "minhash-pairs")
+    links = materialize(_verified(pairs, sets, percent), "minhash-links")
+    labels = materialize(components(links, "a", "b").withColumnRenamed("id", "rep"), "minhash-labels")
+    own = labels.select(F.col("rep").alias("centre"), F.col("label").alias("above"))
+    apart = stars.join(labels, "rep", "left").join(own, "centre", "left").where(F.coalesce("label", "rep") != F.coalesce("above", "centre"))
+    other = materialize(ordered(apart).join(pairs, ["a", "b"], "left_anti"), "minhash-pairs")
+    pairs = pairs.unionByName(other)
+    links = materialize(links.unionByName(_verified(other, sets, percent)), "minhash-links")
+    labels = materialize(components(links, "a", "b").withColumnRenamed("id", "rep"), "minhash-labels")
+    # buckets whose members are not one class yet
+    labelled = materialize(met.join(labels, "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label")), "minhash-labelled")
+    state = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high and members > 2")
+    left = materialize(labelled.join(materialize(state.select("bucket", "members"), "minhash-state"), "bucket"), "minhash-left")
+    if left.isEmpty():
+        return links
+    more = materialize(_likely(left, sets, percent).join(pairs, ["a", "b"], "left_anti"), "minhash-more")
+    return materialize(links.unionByName(_verified(more, sets, percent)).distinct(), "minhash-links")
+
+
+def _likely(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different classes in a bucket whose sketches agree well enough, of all that the bucket has.
+
+    Members of a bucket are compared by one byte of each coordinate, block against block where there are more than
+    BLOCK_ROWS, so neither a task nor the shuffle holds more than the members; only likely pairs are given out. A linked
+    pair falls MARGIN short, five standard deviations or more, less than once in 10**6.
+    """
+    wanted = left.select("rep").distinct()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = [signature(np.asarray(s, np.int64).view(np.uint64)) for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype(np.uint8).tobytes() + bands(s).tobytes() for s in sigs], pa.binary())], names=["rep", "sig"])
+
+    sigs = materialize(sets.join(wanted, "rep", "left_semi").select("rep", "set").mapInArrow(sketch, "rep long, sig binary"), "minhash-bytes")
+    dealt = left.join(sigs, "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK_ROWS).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") != F.least("own", "other")).cast("int").alias("side"), "rep", "n", "label", "sig")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "rep")
+    least = int(np.floor(ROWS * BANDS * (percent / 100 - MARGIN)))
+
+    def compare(bucket: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        side, rep, n, label = (np.array([r[k] for r in rows]) for k in range(4))
+        both = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        sig, keys = both[:, : ROWS * BANDS], np.ascontiguousarray(both[:, ROWS * BANDS :]).view(np.int64)
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        inner = not len(two)
+        two = one if inner else two
+        a, b = [], []
+        for x in one:
+            y = two[two > x] if inner else two
+            y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            y = y[(sig[y] == sig[x]).sum(1) >= least]
+            # a pair is given out in the first of the buckets that it shares
+            y = y[keys[x][(keys[y] == keys[x]).argmax(1)] == bucket]
+            a.append(np.full(len(y), rep[x]))
+            b.append(rep[y])
+        return np.concatenate([*a, rep[:0]]), np.concatenate([*b, rep[:0]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, i, j = None, [], -1, -1
+        for batch in batches:
+            out = []
+            for bucket, bi, bj, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, bi, bj) != key:
+                    if rows and (i == j or rows[-1][0]):
+                        out.append(compare(key[0], rows))
+                    key, rows, i, j = (bucket, bi, bj), [], bi, bj
+                rows.append(row)
+            if out:
+                yield _pairs(out)
+        if rows and (i == j or rows[-1][0]):
+            yield _pairs([compare(key[0], rows)])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    x, y = (np.concatenate([o[k] for o in out]).astype(np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
 def _sets(met: DataFrame, rows: DataFrame, width: int) -> DataFrame:
