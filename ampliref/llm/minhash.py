@@ -27,6 +27,8 @@ FILTER_BITS = 1 << 26
 WORD_CACHE = 500_000
 #: Members of a bucket that are compared at once, and how far below the wanted likeness sketches may agree.
 BLOCK_ROWS, MARGIN = 1024, 0.13
+#: Bits of a set's parity sketch. Two sketches never differ in more places than their sets do in shingles.
+PARITY_BITS = 4096
 _BLOCK = 4096  # shingles hashed at once
 
 
@@ -98,6 +100,12 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity(sh: np.ndarray) -> np.ndarray:
+    """A set's parity sketch: for each place, whether an odd number of shingles fall there."""
+    place = (_mix(sh + np.uint64(0xD6E8FEB86659FD93)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=PARITY_BITS) & 1).astype(np.uint8))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id), n_links.
 
@@ -190,14 +198,19 @@ def _likely(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Members of a bucket are compared by one byte of each coordinate, block against block where there are more than
     BLOCK_ROWS, so neither a task nor the shuffle holds more than the members; only likely pairs are given out. A linked
-    pair falls MARGIN short, five standard deviations or more, less than once in 10**6.
+    pair falls MARGIN short, five standard deviations or more, less than once in 10**6. Parity sketches then drop pairs
+    whose sets must differ in more shingles than a link allows; they never drop a linked one.
     """
     wanted = left.select("rep").distinct()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs = [signature(np.asarray(s, np.int64).view(np.uint64)) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype(np.uint8).tobytes() + bands(s).tobytes() for s in sigs], pa.binary())], names=["rep", "sig"])
+            out = []
+            for s in batch.column(1).to_pylist():
+                sh = np.asarray(s, np.int64).view(np.uint64)
+                sig = signature(sh)
+                out.append(sig.astype(np.uint8).tobytes() + bands(sig).tobytes() + parity(sh).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["rep", "sig"])
 
     sigs = materialize(sets.join(wanted, "rep", "left_semi").select("rep", "set").mapInArrow(sketch, "rep long, sig binary"), "minhash-bytes")
     dealt = left.join(sigs, "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK_ROWS).cast("int"))
@@ -209,7 +222,8 @@ def _likely(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def compare(bucket: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         side, rep, n, label = (np.array([r[k] for r in rows]) for k in range(4))
         both = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-        sig, keys = both[:, : ROWS * BANDS], np.ascontiguousarray(both[:, ROWS * BANDS :]).view(np.int64)
+        sig, keys, odd = (np.ascontiguousarray(x) for x in np.split(both, [ROWS * BANDS, (ROWS + 8) * BANDS], axis=1))
+        keys, odd = keys.view(np.int64), odd.view(np.uint64)
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         inner = not len(two)
         two = one if inner else two
@@ -217,6 +231,8 @@ def _likely(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for x in one:
             y = two[two > x] if inner else two
             y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            # |A ^ B| = |A | B| - |A & B| <= (100 - percent) / (100 + percent) * (|A| + |B|) for a linked pair
+            y = y[(100 + percent) * np.bitwise_count(odd[y] ^ odd[x]).sum(1, dtype=np.int64) <= (100 - percent) * (n[y] + n[x])]
             y = y[(sig[y] == sig[x]).sum(1) >= least]
             # a pair is given out in the first of the buckets that it shares
             y = y[keys[x][(keys[y] == keys[x]).argmax(1)] == bucket]

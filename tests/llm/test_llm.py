@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,15 @@ def test_blocks_of_a_bucket(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in rows(minhash.near_duplicates(df, 3, 85))} == label
 
 
+def test_parity_never_drops_a_link():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 300, 20_000):
+        one = rng.integers(0, 2**63, n).astype(np.uint64)
+        two = np.concatenate([one[n // 10 :], rng.integers(0, 2**63, n // 10).astype(np.uint64)])
+        apart = np.unpackbits(minhash.parity(one) ^ minhash.parity(two)).sum()
+        assert apart <= len(np.setxor1d(one, two)) and not (minhash.parity(one) ^ minhash.parity(one[::-1])).any()
+
+
 def test_tokens(docs, empty):
     from tokenizers import Tokenizer
 
