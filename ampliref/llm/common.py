@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 #: Characters of text that a kernel works on at once; a single longer text forms a chunk of its own.
 CHUNK_CHARS = 2_000_000
 
+#: Rows that the JVM gathers for a kernel at once while it writes a table; the session's own setting is kept if lower.
+BATCH_ROWS = 1000
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: A word is a run of anything but ASCII white space.
@@ -34,9 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and lost executors cost no rework."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, most = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}", spark.conf.get(most)
+    spark.conf.set(most, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(most, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

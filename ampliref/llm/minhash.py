@@ -24,12 +24,15 @@ ROWS, BANDS = 6, 40
 RING = 1 << 20
 #: Bits of the filter that spares texts which no candidate pair needs; its size doesn't depend on the data.
 FILTER_BITS = 1 << 26
-WORD_CACHE = 500_000
+WORD_CACHE = 100_000
 #: Members of a bucket that are compared at once, and how far below the wanted likeness sketches may agree.
 BLOCK_ROWS, MARGIN = 1024, 0.13
 #: Bits of a set's parity sketch. Two sketches never differ in more places than their sets do in shingles.
 PARITY_BITS = 4096
 _BLOCK = 4096  # shingles hashed at once
+#: Rows that a task may take before more tasks and files are worth their cost: of a few numbers, with a text's bands, and
+#: pairs whose full sets are compared. A table with few rows thus makes few files, one with many as many as the shuffle has.
+NARROW_ROWS, WIDE_ROWS, PAIR_ROWS = 50_000, 5_000, 2_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,6 +109,11 @@ def parity(sh: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(place, minlength=PARITY_BITS) & 1).astype(np.uint8))
 
 
+def _sized(df: DataFrame, rows: int, a_task: int) -> DataFrame:
+    """df, which has at most so many rows, in no more partitions than it needs."""
+    return df.coalesce(max(1, -(-rows // a_task)))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id), n_links.
 
@@ -132,17 +140,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     sketched = materialize(rows.mapInArrow(sketch, "doc_id long, n long, same binary, bands array<long>"), "minhash-sketch")
     # documents with equal sets count once, as the smallest of them
-    reps = materialize(
-        sketched.where("n > 0 and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")),
-        "minhash-sets",
-    )
+    equal = sketched.where("n > 0 and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = materialize(_sized(equal, sketched.count(), WIDE_ROWS), "minhash-sets")
     links = _links(reps, rows, width, percent)
     labels = components(links, "a", "b")
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("found"))
-    classes = materialize(
+    classes = (
         reps.select("same", "rep", "copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-        .select("same", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("links")),
-        "minhash-classes",
+        .select("same", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
     own = sketched.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same"))
     # rows without a set must not meet in one task
@@ -160,37 +165,39 @@ def _links(reps: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFr
     """Verified pairs (a, b) of representatives: enough of them to join all members of each bucket that belong together."""
     spark = reps.sparkSession
     spread = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = materialize(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "minhash-shared")
-    met = materialize(spread.join(shared, "bucket"), "minhash-met")
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = materialize(_sized(spread.join(shared, "bucket"), reps.count() * BANDS, NARROW_ROWS), "minhash-met")
+    n_met = met.count()  # stars, labels and what is left have no more rows
+    narrow = lambda df, tag: materialize(_sized(df, n_met, NARROW_ROWS), tag)
     hub = met.groupBy("rep").agg(F.sum("members").alias("hub"))
-    met = materialize(met.join(hub, "rep").select("bucket", "rep", "n", "members", "hub"), "minhash-buckets")
-    if met.isEmpty():
+    met = narrow(met.join(hub, "rep").select("bucket", "rep", "n", "members", "hub"), "minhash-buckets")
+    if not n_met:
         return spark.createDataFrame([], "a long, b long")
     sets = _sets(met, rows, width)
     ratio = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)  # noqa: E731  no pair beyond it can be linked
     # the member that shares most buckets stands in the middle of its group
     centre = met.groupBy("bucket").agg(F.min_by(F.struct(F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("hub").alias("height")), F.struct(-F.col("hub"), F.col("rep"))).alias("c")).select("bucket", "c.*")
-    stars = met.join(materialize(centre, "minhash-centres"), "bucket").where((F.col("rep") != F.col("centre")) & ratio(F.col("n"), F.col("m")))
+    stars = met.join(centre, "bucket").where((F.col("rep") != F.col("centre")) & ratio(F.col("n"), F.col("m")))
     ordered = lambda df: df.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     # first the one centre that stands highest among those of a document's buckets, then those of classes that it isn't in
     best = stars.groupBy("rep").agg(F.min_by("centre", F.struct(-F.col("height"), F.col("centre"))).alias("centre"))
-    pairs = materialize(ordered(best), "minhash-pairs")
+    pairs = narrow(ordered(best), "minhash-pairs")
     links = materialize(_verified(pairs, sets, percent), "minhash-links")
-    labels = materialize(components(links, "a", "b").withColumnRenamed("id", "rep"), "minhash-labels")
+    labels = components(links, "a", "b").withColumnRenamed("id", "rep")
     own = labels.select(F.col("rep").alias("centre"), F.col("label").alias("above"))
     apart = stars.join(labels, "rep", "left").join(own, "centre", "left").where(F.coalesce("label", "rep") != F.coalesce("above", "centre"))
-    other = materialize(ordered(apart).join(pairs, ["a", "b"], "left_anti"), "minhash-pairs")
+    other = narrow(ordered(apart).join(pairs, ["a", "b"], "left_anti"), "minhash-pairs")
     pairs = pairs.unionByName(other)
     links = materialize(links.unionByName(_verified(other, sets, percent)), "minhash-links")
-    labels = materialize(components(links, "a", "b").withColumnRenamed("id", "rep"), "minhash-labels")
+    labels = components(links, "a", "b").withColumnRenamed("id", "rep")
     # buckets whose members are not one class yet
-    labelled = materialize(met.join(labels, "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label")), "minhash-labelled")
+    labelled = narrow(met.join(labels, "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label")), "minhash-labelled")
     state = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high and members > 2")
-    left = materialize(labelled.join(materialize(state.select("bucket", "members"), "minhash-state"), "bucket"), "minhash-left")
+    left = narrow(labelled.join(state.select("bucket", "members"), "bucket"), "minhash-left")
     if left.isEmpty():
         return links
-    more = materialize(_likely(left, sets, percent).join(pairs, ["a", "b"], "left_anti"), "minhash-more")
-    return materialize(links.unionByName(_verified(more, sets, percent)).distinct(), "minhash-links")
+    more = materialize(_sized(_likely(left, sets, percent).join(pairs, ["a", "b"], "left_anti"), left.count(), PAIR_ROWS), "minhash-more")
+    return narrow(links.unionByName(_verified(more, sets, percent)).distinct(), "minhash-links")
 
 
 def _likely(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -212,7 +219,7 @@ def _likely(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 out.append(sig.astype(np.uint8).tobytes() + bands(sig).tobytes() + parity(sh).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["rep", "sig"])
 
-    sigs = materialize(sets.join(wanted, "rep", "left_semi").select("rep", "set").mapInArrow(sketch, "rep long, sig binary"), "minhash-bytes")
+    sigs = sets.join(wanted, "rep", "left_semi").select("rep", "set").mapInArrow(sketch, "rep long, sig binary")
     dealt = left.join(sigs, "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK_ROWS).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") != F.least("own", "other")).cast("int").alias("side"), "rep", "n", "label", "sig")
@@ -312,19 +319,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left, right = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     union: Column = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b").distinct()
+    found = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b").distinct()
+    return _sized(found, pairs.count(), PAIR_ROWS)
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """(id, label) of every linked id: the smallest id reachable. Rounds of least label among neighbours, then of the label's label."""
     pairs = links.select(F.col(left).alias("x"), F.col(right).alias("y"))
-    edges = materialize(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "components-edges")
-    labels = materialize(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "id"), "components-labels")
+    n = 2 * links.count()
+    write = lambda df, tag: materialize(_sized(df, n, NARROW_ROWS), tag)
+    edges = write(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "components-edges")
+    labels = write(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "id"), "components-labels")
     while True:
         near = edges.join(labels, edges["x"] == labels["id"]).groupBy(F.col("y").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = step.select(F.col("id").alias("label"), F.col("label").alias("above"))
-        new = materialize(step.join(up, "label").select("id", "old", F.least("label", "above").alias("label")), "components-labels")
+        new = write(step.join(up, "label").select("id", "old", F.least("label", "above").alias("label")), "components-labels")
         labels = new.select("id", "label")
         if new.where("old != label").isEmpty():
             return labels
