@@ -1,13 +1,17 @@
 """Personal data: patterns for what has a form, and information-theoretic sanitisation for terms that reveal it.
 
-Entities are spans that a pattern finds. A term next to an entity discloses it when the corpus says so: with document
-frequencies df over all N documents and c the documents that have the term next to the entity, the pointwise mutual
-information log2(N c / (df(term) df(entity))) reaches a share of the entity's own information log2(N / df(entity)).
-Such terms are removed, or above a lower share generalised. All of it is DataFrame code.
+Entities are spans that a pattern finds. A term of a text that holds an entity discloses it when the corpus says so. Counts
+are exact and over N distinct texts, taken whole: df of the term, df of the entity's normalised form or a part of it (its
+keys), and c texts that hold both. The pointwise mutual information log2(N c / (df(term) df(key))) must reach a share of
+the entity's own information log2(N / df(entity)), and so many common texts must be unlikely by chance among all terms
+of the corpus, or the term stands in the entity itself. Such terms are removed wherever they stand in texts that hold the
+entity, or above a lower share generalised. All of it is DataFrame code.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +33,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP_IN_RANGE = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 
-#: Code points on either side of an entity in which terms stand next to it.
-CONTEXT = 80
-#: Distinct surroundings in which a term must stand next to an entity before its frequencies count as evidence.
-SUPPORT = 3
+#: Chance terms that an entity's key may expect among all terms of the corpus.
+CHANCE = 0.01
 #: Shares of an entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
 TERM = r"\p{L}{3,}"
@@ -64,66 +66,91 @@ def entities(text: Column) -> Column:
     )
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, entity, around, term, start, end): each term next to each entity, and a hash of the surroundings."""
-    each = found.where("size(base) > 0").select("doc_id", "text", F.explode("base").alias("s"))
-    at, end = F.col("s.start"), F.col("s.end")
-    low = F.greatest(at - CONTEXT, F.lit(0))
-    each = each.select(
-        "doc_id",
-        F.concat_ws(":", F.col("s.kind").cast("string"), F.substring("text", at + 1, end - at)).alias("entity"),
-        low.alias("low"), F.substring("text", low + 1, at - low).alias("before"),
-        end.alias("high"), F.substring("text", end + 1, F.lit(CONTEXT)).alias("after"),
-    )
-    around = F.xxhash64("before", "after")
-    shift = lambda spans, by: F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
-    word = lambda side: find(F.col(side), TERM, 4)
-    cut = F.when(F.col("low") > 0, F.lit(0)).otherwise(F.lit(-1))  # a term cut off at the window's edge is none
-    terms = F.concat(
-        shift(F.filter(word("before"), lambda s: s["start"] > cut), F.col("low")),
-        shift(F.filter(word("after"), lambda s: s["end"] < CONTEXT), F.col("high")),
-    )
-    each = each.select("doc_id", "entity", around.alias("around"), "low", "high", "before", "after", F.explode(terms).alias("t"))
-    inside = F.when(F.col("t.start") < F.col("high") , F.substring("before", F.col("t.start") - F.col("low") + 1, F.col("t.end") - F.col("t.start"))).otherwise(
-        F.substring("after", F.col("t.start") - F.col("high") + 1, F.col("t.end") - F.col("t.start"))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _keys(found: DataFrame) -> DataFrame:
+    """(_key, entity, key): the entities of each text, normalised, each with itself and its parts as keys.
+
+    Parts are an email's two sides, an ip's first three numbers, and a phone's or card's digits before its last four.
+    """
+    each = found.select("_key", "text", F.explode("base").alias("s"))
+    each = each.select("_key", F.col("s.kind").alias("kind"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("m"))
+    plain = F.when(F.col("kind") == 0, F.lower("m")).when(F.col("kind") == 1, F.regexp_replace("m", r"(^|\.)0+(?=[0-9])", "$1")).otherwise(F.regexp_replace("m", "[^0-9]", ""))
+    each = each.select("_key", "kind", plain.alias("m")).distinct()
+    named = lambda sign, part: F.concat_ws(":", F.concat(F.col("kind").cast("string"), F.lit(sign)), part)
+    parts = (
+        F.when(F.col("kind") == 0, F.array(named("l", F.substring_index("m", "@", 1)), named("d", F.substring_index("m", "@", -1))))
+        .when(F.col("kind") == 1, F.array(named("n", F.substring_index("m", ".", 3))))
+        .otherwise(F.array(named("n", F.col("m").substr(F.lit(1), F.length("m") - 4))))
     )
-    return each.select("doc_id", "entity", "around", F.lower(inside).alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    entity = named("", F.col("m"))
+    return each.select("_key", entity.alias("entity"), F.explode(F.concat(F.array(entity), parts)).alias("key"))
+
+
+def _chance(both: Column, one: Column, other: Column, n: float) -> Column:
+    """Logarithm of a bound (Chernoff) of the chance that sets of `one` and `other` out of n texts share `both` or more."""
+    few, share = F.least(one, other).cast("double"), F.greatest(one, other) / F.lit(n)
+    x = both / few
+    rest = F.when(both < few, (1 - x) * F.ln((1 - x) / (1 - share))).otherwise(F.lit(0.0))
+    return F.when(x > share, -few * (x * F.ln(x / share) + rest)).otherwise(F.lit(0.0))
 
 
-def disclosures(docs: DataFrame, contexts: DataFrame, n_docs: int) -> DataFrame:
-    """(term, entity, share): pairs whose mutual information is at least GENERALISE of the entity's information."""
-    together = contexts.groupBy("term", "entity").agg(F.approx_count_distinct("around").alias("spots"), F.count_distinct("doc_id").alias("both"))
-    together = together.where(F.col("spots") >= SUPPORT)
-    holders = contexts.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    joined_ = together.join(holders, "entity").join(frequency, "term")
-    information = F.log2(F.lit(float(n_docs)) / F.col("df_entity"))
-    mutual = F.log2(F.lit(float(n_docs)) * F.col("both") / (F.col("df_term").cast("double") * F.col("df_entity")))
-    return joined_.where(information > 0).select("term", "entity", (mutual / information).alias("share")).where(F.col("share") >= GENERALISE)
+def disclosures(terms: DataFrame, keys: DataFrame, n_texts: int, n_terms: int) -> DataFrame:
+    """(term, entity, share): pairs whose mutual information is at least GENERALISE of the entity's information.
+
+    terms: (_key, term, df_term). Pairs whose document frequencies alone rule out the share or the evidence aren't counted.
+    """
+    n, level = float(n_texts), F.lit(math.log(CHANCE / max(n_terms, 1)))
+    df_key = keys.select("_key", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("df_key"))
+    entities_ = keys.select("entity", "key").distinct().join(df_key.select(F.col("key").alias("entity"), F.log2(F.lit(n) / F.col("df_key")).alias("information")), "entity").where("information > 0")
+    entities_ = materialize(entities_.join(df_key, "key"), "pii-entities")
+    least = entities_.groupBy("key").agg(F.min("information").alias("least"), F.first("df_key").alias("df_key"))
+    held = keys.select("_key", "key").distinct().join(least, "key")
+    most = F.log2(F.lit(n) / F.greatest("df_term", "df_key"))
+    own = F.contains("key", "term")
+    possible = (most >= GENERALISE * F.col("least") - 1e-9) & (own | (_chance(F.least("df_term", "df_key"), F.col("df_term"), F.col("df_key"), n) <= level))
+    together = terms.join(held, "_key").where(possible).groupBy("term", "key", "df_term").agg(F.count(F.lit(1)).alias("both"))
+    scored = together.join(entities_, "key").where(own | (_chance(F.col("both"), F.col("df_term"), F.col("df_key"), n) <= level))
+    mutual = F.log2(F.lit(n) * F.col("both") / (F.col("df_term").cast("double") * F.col("df_key")))
+    # the last digits of a logarithm don't decide
+    scored = scored.select("term", "entity", F.round(mutual / F.col("information"), 9).alias("share"))
+    return scored.groupBy("term", "entity").agg(F.max("share").alias("share")).where(F.col("share") >= GENERALISE)
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, base (spans by kind and start), terms (spans of disclosing terms, by start), each with kind, start, end.
 
-    Null text counts as empty. Terms are looked for next to entities only, so a document without an entity has no spans.
-    Rows that repeat an identifier share their terms. Other columns are ignored; an empty table gives no rows.
+    Null text counts as empty. Terms are looked for in all of a text that holds an entity; one without has no spans. Copies
+    of a text count once as evidence and get the same spans. Other columns are ignored; an empty table gives no rows.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = text.withColumn("base", entities(F.col("text")))
-    # what stands near entities is small; texts are read once for it and once for the frequencies of terms
-    hits = materialize(found.select("doc_id", "base"), "pii-base")
-    near = text.join(hits.where("size(base) > 0 and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    contexts = materialize(_contexts(near.withColumn("base", entities(F.col("text")))), "pii-contexts")
-    shares = materialize(disclosures(text, contexts, hits.count()), "pii-disclosures")
-    flagged = contexts.join(shares, ["term", "entity"]).groupBy("doc_id", "start", "end").agg(F.max("share").alias("share"))
-    flagged = flagged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("t"))
-    base = hits.join(flagged, "doc_id", "left")
+    # a text's digest stands for it; only texts with entities are kept beside it
+    kept = F.when(F.size("base") > 0, F.col("text")).alias("text")
+    hits = materialize(found.select("doc_id", F.unhex(F.sha2("text", 256)).alias("_key"), "base", kept), "pii-base")
+    holding = hits.where("size(base) > 0")
+    each = holding.select("_key", "text", "base").dropDuplicates(["_key"])
+    keys = materialize(_keys(each), "pii-keys")
+    words = text.select("text").distinct().select(F.explode(_terms(F.col("text"))).alias("term"))
+    vocabulary = materialize(words.groupBy("term").agg(F.count(F.lit(1)).alias("df_term")), "pii-vocabulary")
+    terms = materialize(each.select("_key", F.explode(_terms(F.col("text"))).alias("term")).join(vocabulary, "term"), "pii-terms")
+    shares = materialize(disclosures(terms, keys, hits.select("_key").distinct().count(), vocabulary.count()), "pii-disclosures")
+    holders = keys.select("_key", "entity").distinct()
+    flagged = terms.join(shares, "term").join(holders, ["_key", "entity"], "left_semi").groupBy("_key", "term").agg((F.max("share") >= REMOVE).alias("gone"))
+    words_of = lambda which: F.collect_list(F.when(which, F.col("term")))
+    flagged = materialize(flagged.groupBy("_key").agg(words_of(F.lit(True)).alias("_words"), words_of(F.col("gone")).alias("_gone")), "pii-flagged")
+    spans = find(F.col("text"), TERM, 4, lambda m: F.array_contains("_words", F.lower(m)))
+    placed = holding.join(flagged, "_key").select("doc_id", "base", "text", "_gone", spans.alias("terms"))
     # a term inside an entity belongs to it
-    free = F.filter("t", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    terms = F.transform(free, lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
-    removed = F.transform(free, lambda t: t["share"] >= REMOVE)
-    return base.select("doc_id", "base", F.coalesce(terms, F.expr(f"cast(array() as {SPANS})")).alias("terms"), F.coalesce(removed, F.expr("cast(array() as array<boolean>)")).alias("removed"))
+    placed = placed.withColumn("terms", F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
+    inside = lambda t: F.lower(F.substring(F.col("text"), t["start"] + 1, t["end"] - t["start"]))
+    placed = placed.select("doc_id", "base", "terms", F.transform("terms", lambda t: F.array_contains("_gone", inside(t))).alias("removed"))
+    none = ["doc_id", "base", F.expr(f"cast(array() as {SPANS})").alias("terms"), F.expr("cast(array() as array<boolean>)").alias("removed")]
+    bare = holding.join(flagged, "_key", "left_anti").select(*none)
+    return placed.unionByName(bare).unionByName(hits.where("size(base) = 0").select(*none))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

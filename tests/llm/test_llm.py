@@ -174,6 +174,17 @@ def test_pii_terms(spark):
     assert all("[EMAIL]" in r["text"] and "Quixote" not in r["text"] for r in clean)
 
 
+def test_pii_terms_of_whole_texts(spark):
+    """Terms far from an entity, of entities seen twice or once, and only in texts that hold the entity."""
+    far = prose(60)  # over 80 characters
+    rows_ = [(i, f"Dulcinea {far} {prose(9)} mail +1 (555) 123-4560") for i in range(4)] + [(4, f"{prose(60)} and Zanzibar to zanzibar@y.org")]
+    rows_ += [(5, "+1 (555) 123-4560 " + prose(40)), (6, "Dulcinea alone"), (None, f"Dulcinea {far} {prose(9)} +15551234560"), (7, f"Rocinante {far} 97.51.17.173"), (8, f"97.051.17.173 {far} {far} Rocinante")]
+    rows_ += [(10 + i, f"{prose(20)} n{i}@z{i}.net") for i in range(300)]
+    got = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["terms"]] for r in rows(pii.personal_data(spark.createDataFrame(rows_, "doc_id long, text string")).join(spark.createDataFrame(rows_, "_id long, text string"), F.expr("doc_id <=> _id")))}
+    assert all("Dulcinea" in got[i] for i in (0, 1, 2, 3, None))
+    assert got[4] == ["Zanzibar"] and got[7] == got[8] == ["Rocinante"] and got[6] == [] and not any(got[10 + i] for i in range(300))
+
+
 def test_secrets(docs, empty):
     assign = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
     for r in rows(secret_scan.secrets(docs)):
