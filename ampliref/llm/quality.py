@@ -22,26 +22,25 @@ from ampliref.llm.common import chunks
 BUCKETS, DIM = 1 << 16, 16
 #: Character n-grams of a word between boundary signs.
 GRAMS = (2, 3, 4)
-#: Characters of a word that n-grams are taken from; the word itself is hashed whole.
-GRAM_CHARS = 64
+#: Characters whose features are held at once; longer words are read in parts that overlap, so no n-gram is lost or doubled.
+PART_CHARS = 1 << 20
 #: The bound of the training sample, in documents.
 MAX_TRAIN = 4000
 CACHE_WORDS = 1_000_000
+#: Characters of cached words after which the cache begins anew.
+CACHE_CHARS = 16_000_000
 #: A word like its predecessor also counts as this word.
 REPEAT = "\x00repeat"
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words and of their character n-grams, and whose each is (the word's place in the list)."""
-    import xxhash
-
-    marked = [f"<{w[:GRAM_CHARS]}>" for w in words]
+def _grams(marked: list[str], owners: list[int], starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of each string, and its owner. starts: only n-grams that begin before that place."""
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), [len(m) for m in marked])
-    at = [np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))]
-    of = [np.arange(len(words))]
+    owner = np.repeat(np.array(owners, np.int64), [len(m) for m in marked])
+    at, of = [], []
     for n in GRAMS:
         size = max(0, len(code) - n + 1)
+        size = size if starts is None else min(size, starts)
         h = np.full(size, n, np.uint64)
         with np.errstate(over="ignore"):
             for k in range(n):
@@ -53,6 +52,29 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(at) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(of)
 
 
+def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Parts of: buckets of the words and of all their character n-grams, and whose each is (the word's place in the list)."""
+    import xxhash
+
+    whole = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    yield (whole % np.uint64(BUCKETS)).astype(np.int64), np.arange(len(words))
+    marked, owners, size = [], [], 0
+    for i, w in enumerate(words):
+        if len(w) > PART_CHARS:
+            m = f"<{w}>"
+            for at in range(0, len(m), PART_CHARS):
+                yield _grams([m[at : at + PART_CHARS + max(GRAMS) - 1]], [i], PART_CHARS)
+            continue
+        if marked and size + len(w) > PART_CHARS:
+            yield _grams(marked, owners)
+            marked, owners, size = [], [], 0
+        marked.append(f"<{w}>")
+        owners.append(i)
+        size += len(w)
+    if marked:
+        yield _grams(marked, owners)
+
+
 def tokens(text: str | None) -> list[str]:
     words = (text or "").split()
     return words + [REPEAT] * sum(map(eq, words, islice(words, 1, None)))
@@ -102,8 +124,9 @@ def train(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoch
 
 def _counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = Counter(tokens(text))
-    at, of = features(list(words))
-    total = np.bincount(at, np.fromiter(words.values(), np.float64, len(words))[of], BUCKETS)
+    times, total = np.fromiter(words.values(), np.float64, len(words)), np.zeros(BUCKETS)
+    for at, of in features(list(words)):
+        total += np.bincount(at, times[of], BUCKETS)
     at = np.flatnonzero(total)
     return at.astype(np.int32), total[at].astype(np.float32)
 
@@ -134,21 +157,24 @@ class Scores(dict):
 
     def __init__(self, weights: np.ndarray, bias: float):
         super().__init__()
-        self.weights, self.bias = weights, bias
+        self.weights, self.bias, self.chars = weights, bias, 0
         self.sums, self.numbers = np.zeros(CACHE_WORDS), np.zeros(CACHE_WORDS)
 
     def learn(self, words: list[str]) -> None:
         first = len(self)
         if first + len(words) > len(self.sums):  # within one batch it may grow
             self.sums, self.numbers = np.r_[self.sums, np.zeros(len(words))], np.r_[self.numbers, np.zeros(len(words))]
-        at, of = features(words)
-        self.sums[first : first + len(words)] = np.bincount(of, self.weights[at], len(words))
-        self.numbers[first : first + len(words)] = np.bincount(of, minlength=len(words))
+        self.sums[first : first + len(words)] = self.numbers[first : first + len(words)] = 0
+        for at, of in features(words):
+            self.sums[first : first + len(words)] += np.bincount(of, self.weights[at], len(words))
+            self.numbers[first : first + len(words)] += np.bincount(of, minlength=len(words))
+        self.chars += sum(map(len, words))
         self.update(zip(words, range(first, first + len(words))))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        if len(self) > CACHE_WORDS // 2:
+        if len(self) > CACHE_WORDS // 2 or self.chars > CACHE_CHARS:
             self.clear()
+            self.chars = 0
         words = [tokens(t) for t in texts]
         if misses := sorted(set(chain.from_iterable(words)).difference(self)):
             self.learn(misses)

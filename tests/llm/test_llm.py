@@ -143,6 +143,21 @@ def test_pieces_on_random_strings():
         assert [int(x) for y in e for x in y[0].split()] == own.encode(t)
 
 
+def test_quality_reads_long_words_whole(monkeypatch):
+    head = "ab" * 40
+    texts = [head + "漢字" * 50, head + "zq" * 50, head]
+    grams = lambda w: sum(len(w) + 2 - n + 1 for n in quality.GRAMS) + 1
+    counted = [quality._counted(t) for t in texts]
+    assert [int(n.sum()) for _, n in counted] == [grams(t) for t in texts]
+    weights = np.random.default_rng(3).normal(size=quality.BUCKETS)
+    want = [1 / (1 + np.exp(-(weights[at] @ n) / n.sum())) for at, n in counted]
+    assert quality.Scores(weights, 0.0).score(texts) == pytest.approx(want)
+    # parts of any size give the same
+    monkeypatch.setattr(quality, "PART_CHARS", 7)
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(map(quality._counted, texts), counted))
+    assert quality.Scores(weights, 0.0).score(texts) == pytest.approx(want)
+
+
 BASES = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
