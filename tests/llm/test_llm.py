@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
-from ampliref.llm import exact_dedup, minhash, mixing, pieces, pii, quality, secret_scan, spotsigs, token_counts, wrappers  # noqa: E402
+from ampliref.llm import exact_dedup, minhash, mixing, pieces, pii, quality, secret_scan, spotsigs, token_counts  # noqa: E402
 
 R = random.Random(11)
 WORDS = ["alpha", "Beta", "the", "of", "gamma", "delta", "is", "épsilon", "zeta", "eta", "a", "theta"]
@@ -279,23 +279,6 @@ def test_quality(spark, empty):
     assert {r["score"] for r in rows(quality.score(odd.where("doc_id < 3"), blank))} == {0.5}
 
 
-PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Top</header><div id="cookie-notice">We use cookies</div><nav>n</nav><div class="sidebar"><p>side</p></div>
-<main><article><h1>Head &amp; line</h1><p>One <b>bo</b>ld<p>Two<br>three <a href=x>lin</a>k.<div class="advert">buy</div><form>f<input></form><script>var a="<p>no</p>";</script><!-- c <p>z</p> -->tail</article>
-<section class="comments"><article class="comment">bad</article></section></main><footer>f</footer></body></html>"""
-
-
-def test_wrappers(spark):
-    pages = spark.createDataFrame([(1, "http://h.org/a", PAGE), (2, "http://h.org/b", PAGE.replace("<p>One", "<p>x<p>One")), (3, None, None), (4, "http://k.org", "<div><h1>A</h1><p>b &lt;c&gt; &nbsp; d</div>"), (5, "bad", "plain"), (1, "http://h.org/a", PAGE)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = {r["page_id"]: r["text"] for r in rows(wrappers.extract(pages))}
-    assert got == {1: "Head & line One bold Two three link. tail", 2: "Head & line x One bold Two three link. tail", 3: "", 4: "A b <c> d", 5: "plain"}
-    assert wrappers.extract(pages.limit(0)).count() == 0
-
-
-def test_folding_and_alignment():
-    assert wrappers.fold("ul li # /li li # /li li # /li /ul".split()) == ["ul", "(li # /li)+", "/ul"]
-    assert wrappers.align(["a", "b", "c"], ["a", "c", "d"]) == ["a", "b?", "c", "d?"]
-
-
 def test_pipeline(spark):
     """The stages after the classifier against brute force on the smallest tables, and all of them end to end."""
     import corpus_pipeline
