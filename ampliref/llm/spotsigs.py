@@ -1,10 +1,10 @@
 """Document fingerprints by SpotSigs: chains of content words that follow common words.
 
-A common word is an anchor; the next CHAIN content words after it, passing over other anchors, form a signature. The
-fingerprint of a text is its multiset of signatures, written as sorted hexadecimal hashes of signature and occurrence;
-likeness is the Jaccard of two. Where common words are missing - tables, shouting, other languages - a word more than GAP
-words behind the last anchor serves as one, and texts with fewer than FEW signatures add chains of characters, so that
-every text has a fingerprint, which edits change in proportion.
+A common word is an anchor, and so is the beginning of a line that has words; the next CHAIN content words after it,
+passing over other anchors, form a signature with it, filled up by an end mark where the text is over. The fingerprint of a
+text is its multiset of signatures, written as sorted hexadecimal hashes of signature and occurrence; likeness is the
+Jaccard of two. One definition holds for all texts, so tables, shouting and other languages, which lack the common words,
+have the signatures of their lines.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ ANCHORS = {
     "fr": "le la les un une des du de est sont était ont et que qui dans en pour par sur au aux avec",
 }
 CHAIN = 2
-FEW = 3
-#: A word this far behind the last anchor is an anchor itself.
-GAP = 3
+#: Stands for the beginning of a line among words.
+LINE = "\n"
+_END = np.uint64(0x7F4A7C15)
 WORD_CACHE = 300_000
 _STRIP = " \t\r\n.,;:!?()[]{}\"'|*&%$#<>-–—…"
 
@@ -45,39 +45,32 @@ class Words(dict):
 
         if len(self) >= WORD_CACHE:
             self.clear()
-        bare = word.strip(_STRIP).lower()
-        out = self[word] = (xxhash.xxh3_64_intdigest(bare) >> 32, -1 if not bare else int(bare in self.anchors))
+        bare = word.strip(_STRIP).lower() if word != LINE else word
+        out = self[word] = (xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass")) >> 32, -1 if not bare else int(bare == LINE or bare in self.anchors))
         return out
 
 
 _WORDS = Words()
 
 
-def _chains(start: np.ndarray, follow: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Hashes of heads, each with CHAIN entries of follow from start on; chains that run out of text are left out."""
-    ok = start + CHAIN <= len(follow)
-    out, start = heads[ok], start[ok]
-    with np.errstate(over="ignore"):
-        for k in range(CHAIN):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + follow[start + k])
-    return out >> np.uint64(32)
-
-
 def signatures(text: str | None) -> np.ndarray:
     """Sorted distinct 32-bit signatures of a text; empty only for texts without a character other than white space."""
-    flat = np.array(list(map(_WORDS.__getitem__, (text or "").split())), np.int64).reshape(-1, 2)
+    words: list[str] = []
+    for line in (text or "").split("\n"):
+        if found := line.split():
+            words.append(LINE)
+            words += found
+    flat = np.array(list(map(_WORDS.__getitem__, words)), np.int64).reshape(-1, 2)
     flat = flat[flat[:, 1] >= 0]
     h, anchor = flat[:, 0].astype(np.uint64), flat[:, 1] == 1
-    content = np.flatnonzero(~anchor)
-    place = np.arange(len(h))
-    last = np.maximum.accumulate(np.where(anchor, place, -GAP - 1)) if len(h) else place
-    at = np.flatnonzero(anchor | (place - last > GAP))
-    out = _numbered(_chains(np.searchsorted(content, at, "right"), h[content], h[at]))
-    if len(out) < FEW:
-        code = np.frombuffer("".join((text or "").split()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        padded = np.r_[np.zeros(CHAIN, np.uint64), code, np.zeros(CHAIN, np.uint64)] if len(code) else code
-        out = np.unique(np.r_[out, _numbered(_chains(np.arange(len(padded)) + 1, padded, padded ^ np.uint64(2)))])
-    return out.astype(np.uint32)
+    follow = np.r_[h[~anchor], np.full(CHAIN, _END)]
+    at = np.flatnonzero(anchor)
+    # the content words before an anchor tell where its chain begins
+    start, out = at - np.arange(len(at)), h[at]
+    with np.errstate(over="ignore"):
+        for k in range(CHAIN):
+            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + follow[np.minimum(start + k, len(follow) - 1)])
+    return _numbered(out >> np.uint64(32)).astype(np.uint32)
 
 
 def _numbered(chains: np.ndarray) -> np.ndarray:
@@ -142,8 +135,9 @@ def similar_pairs(prints: DataFrame, at_least: float = 0.8) -> DataFrame:
     return full.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), like.alias("likeness")).where(F.col("likeness") >= at_least - 1e-12)
 
 
-#: Documents that one bucket of the order by doc_id holds, about, and the most buckets.
-BUCKET_DOCS, MOST_BUCKETS = 1000, 10_000
+#: Documents that one bucket of the order by doc_id holds, about, and buckets for each shuffle partition of the session, which
+#: says how many tasks its data needs.
+BUCKET_DOCS, PARTITION_BUCKETS = 1000, 16
 
 
 def with_next(docs: DataFrame, kernel, schema: str) -> DataFrame:
@@ -154,7 +148,8 @@ def with_next(docs: DataFrame, kernel, schema: str) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     stats = rows.agg(F.count(F.lit(1)).alias("n")).first()
-    k = max(1, min(MOST_BUCKETS, -(-stats["n"] // BUCKET_DOCS)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = max(1, min(PARTITION_BUCKETS * parts, -(-stats["n"] // BUCKET_DOCS)))
     # null identifiers come last, as the lowest
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     cuts = sorted(set(rows.agg(F.percentile_approx(key, [i / k for i in range(1, k)], 10 * k)).first()[0])) if k > 1 else []

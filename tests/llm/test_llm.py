@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -240,19 +241,46 @@ def test_apportion(spark):
     assert got == {k: sum(q[1] == -k for q in quotients) for _, k, _ in parties}
 
 
-def test_spots(docs, empty, monkeypatch):
+def spots(text):
+    """Brute force: the multiset of (anchor, two content words) of a text."""
+    common = set(" ".join(spotsigs.ANCHORS.values()).split())
+    marks = " \t\r\n.,;:!?()[]{}\"'|*&%$#<>-\u2013\u2014\u2026"
+    words = []
+    for line in (text or "").split("\n"):
+        if line.split():
+            words += [None, *filter(None, (w.strip(marks).lower() for w in line.split()))]
+    out = Counter()
+    for i, w in enumerate(words):
+        if w is None or w in common:
+            out[(w, *[x for x in words[i + 1 :] if x is not None and x not in common][:2])] += 1
+    return out
+
+
+def alike(a, b):
+    return sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
+
+
+def test_spots(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(spotsigs, "BUCKET_DOCS", 4)
-    df = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    more = spark.createDataFrame([(100, "| x | y |\n| z | w |\n\n--- ***"), (101, "UN DEUX TROIS"), (102, "漢字 かな"), (103, "the of"), (104, "the of"), (105, "...")], "doc_id long, text string")
+    df = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(more, allowMissingColumns=True)
     order = sorted(known(df), reverse=True)
     got = {r["doc_id"]: r for r in rows(spotsigs.edit_report(df))}
     assert len(got) == len(order)
+    prints = {}
     for k, (i, t) in enumerate(order):
         follow = order[(k + 1) % len(order)][1]
-        changed = spotsigs.edited(t, follow)
-        assert got[i]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest() and got[i]["n_chars"] == len(t)
-        assert got[i]["near_next"] == spotsigs.likeness(spotsigs.signatures(t), spotsigs.signatures(follow))
-    assert got[14]["fingerprint"] == got[15]["fingerprint"]
-    assert spotsigs.edit_report(docs).count() == docs.count() and spotsigs.edit_report(empty).count() == 0
+        cut = len(t) // 3
+        changed = t[: len(t) - cut] + follow[:cut]
+        r, own, other = got[i], spots(t), spots(changed)
+        assert r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest() and r["n_chars"] == len(t)
+        assert r["near_next"] == pytest.approx(alike(own, spots(follow))) and r["near_edited"] == pytest.approx(alike(own, other))
+        for bag, shown in ((own, r["fingerprint"]), (other, r["edited_fingerprint"])):
+            assert prints.setdefault(frozenset(bag.items()), shown) == shown and (shown == "") == (not bag)
+    assert len(set(prints.values())) == len(prints) and got[103]["fingerprint"] == got[104]["fingerprint"] != ""
+    # nulls, repeated identifiers and columns with the operator's own names
+    clash = docs.withColumns({"halo": F.lit(1), "top": F.lit(2), "fingerprint": F.lit("f")})
+    assert spotsigs.edit_report(clash).count() == docs.count() and spotsigs.edit_report(empty).count() == 0
 
 
 def test_spot_pairs(docs):
