@@ -58,10 +58,11 @@ def check_codons(sequence: Column, gene: Column, coding: Sequence[str] = ("COI",
     clean = F.regexp_replace(F.upper(sequence), "[^ACGT]", "N")
     size = F.length(clean)
 
+    stop = "|".join(STOPS[code])
+
     def count(frame: int) -> Column:
-        # one pass over the sequence; taking codons out by place would start from its beginning each time
-        codons = F.regexp_extract_all(F.substring(clean, frame + 1, 2_000_000_000), F.lit("[ACGTN]{3}"), F.lit(0))
-        return F.size(F.filter(codons, lambda x: x.isin(*STOPS[code])))
+        # each match runs over codons to the next stop codon, so there are as many matches as stops, in one pass
+        return F.regexp_count(F.substring(clean, frame + 1, 2_000_000_000), F.lit(rf"\G(?:(?!{stop})[ACGTN]{{3}})*+(?:{stop})"))
 
     # one array, so the counts are made once
     counts = F.array(*[count(f) for f in range(3)])

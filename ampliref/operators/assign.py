@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ampliref.functions.sequences import clean_sequence
 from ampliref.operators.align import search
+from ampliref.operators.numbering import numbered
 from ampliref.operators.query import Values, get_sequences
 from ampliref.schemas import ASSIGNMENT, METRICS, match_arg, require_columns
 
@@ -29,7 +30,7 @@ def blast_metrics(hits: DataFrame) -> DataFrame:
 
 def similarity_hits(asvs: DataFrame, refs: DataFrame, min_identity: float = 99, min_coverage: float = 0.9, max_targets: int = 100) -> DataFrame:
     """Hits of a similarity search against refs (unique_code, sequence, lineage) that cover min_coverage of the query."""
-    found = search(asvs.select(F.col("asv_id").alias("id"), "sequence"), refs.select(F.col("unique_code").alias("id"), "sequence"), min_identity, max_targets)
+    found = search(asvs.select(F.col("asv_id").alias("id"), "sequence"), refs.select(F.col("unique_code").alias("id"), "sequence"), min_identity, max_targets, min_coverage)
     meta = refs.select(F.col("unique_code").alias("subject_id"), "species", "genus", "family")
     return blast_metrics(found).join(meta, "subject_id", "left").where(F.col("qcov") >= min_coverage)
 
@@ -127,7 +128,7 @@ def to_wide(long: DataFrame, samples: list[str], id_col: str = "asv_id") -> Data
 
 def asv_ids(df: DataFrame, order: list[Column], name: str = "asv_id") -> DataFrame:
     """ASV_00001, ASV_00002, in order."""
-    return df.withColumn(name, F.format_string("ASV_%05d", F.row_number().over(Window.orderBy(*order))))
+    return numbered(df, order, "_number").withColumn(name, F.format_string("ASV_%05d", "_number")).drop("_number")
 
 
 def compare(a: DataFrame, b: DataFrame, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampliref.functions.sequences import sequence_features
+from ampliref.operators.numbering import numbered
 from ampliref.schemas import require_columns
 
 FEATURES = ("length", "gc_content", "at_content", "gc_skew", "at_skew")
@@ -25,7 +26,7 @@ def add_features(df: DataFrame, sequence_col: str = "sequence") -> DataFrame:
 
 @dataclass
 class Classifier:
-    """metrics: accuracy, kappa and others on the test part; confusion: rows (label, one column per predicted label)."""
+    """importance: permutation importance where asked for, else impurity. metrics: accuracy, kappa and others on the test part; confusion: rows (label, one column per predicted label)."""
 
     model: PipelineModel
     metrics: dict[str, float]
@@ -38,19 +39,27 @@ class Classifier:
 
 
 def split(df: DataFrame, label_col: str, prop: float, seed: int, id_cols: Sequence[str]) -> DataFrame:
-    """Adds _train. The share prop of each label by a hash of the row, so it stays the same whatever the partitions.
+    """Adds _train: of each label the share prop, rounded down, drawn by a seeded hash of the row.
 
-    A hash decides row by row: strata keep their shares but for chance, and no stratum is sorted in one task.
+    The stratum's cut is the exact quantile of its hashes, counted per bucket of hashes, so no stratum is sorted in one
+    task; within the bucket of the cut, rows go by their hash.
     """
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(label_col), *[F.col(c) for c in id_cols]), F.lit(1_000_000)) / 1e6
-    return df.withColumn("_train", draw < prop)
-
-
-def train_classifier(df: DataFrame, label_col: str = "seq_type", features: Sequence[str] = FEATURES, trees: int = 500, mtry: int = 3, min_n: int = 5, prop: float = 0.8, seed: int = 123) -> Classifier:
+    rows = df.withColumn("_draw", F.pmod(F.xxhash64(F.lit(seed), F.col(label_col), *[F.col(c) for c in id_cols]), F.lit(1 << 40))).withColumn("_bin", F.expr("_draw div (1 << 28)"))
+    bins = rows.groupBy(label_col, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    up = Window.partitionBy(label_col).orderBy("_bin")
+    bins = bins.withColumns({"_below": F.sum("_n").over(up) - F.col("_n"), "_all": F.sum("_n").over(Window.partitionBy(label_col))})
+    bins = bins.withColumn("_left", F.floor(F.col("_all") * F.lit(prop) + 1e-9) - F.col("_below")).select(F.col(label_col).alias("_stratum"), F.col("_bin").alias("_at"), "_n", "_left")
+    both = rows.join(bins, rows[label_col].eqNullSafe(F.col("_stratum")) & (F.col("_bin") == F.col("_at")))
+    cut = both.where("_left > 0 and _left < _n").withColumn("_rank", F.row_number().over(Window.partitionBy(label_col, "_bin").orderBy("_draw")))
+    rest = both.where("not (_left > 0 and _left < _n)").withColumn("_rank", F.lit(0))
+    return cut.unionByName(rest).withColumn("_train", F.col("_left") >= F.greatest("_rank", F.lit(1))).drop("_draw", "_bin", "_stratum", "_at", "_n", "_left", "_rank")
+
+
+def train_classifier(df: DataFrame, label_col: str = "seq_type", features: Sequence[str] = FEATURES, trees: int = 500, mtry: int = 3, min_n: int = 5, prop: float = 0.8, seed: int = 123, permute: bool = False) -> Classifier:
     """Normalised features without constant ones, a random forest, and its measures on the part that wasn't learned from."""
     require_columns(df, [label_col, *features])
-    rows = split(df.where(F.col(label_col).isNotNull()).na.drop(subset=list(features)), label_col, prop, seed, features)
-    learn, test = rows.where("_train").persist(), rows.where("not _train")
+    rows = split(df.where(F.col(label_col).isNotNull()).na.drop(subset=list(features)), label_col, prop, seed, features).persist()
+    learn, test = rows.where("_train"), rows.where("not _train")
     steps = [
         StringIndexer(inputCol=label_col, outputCol="_label", handleInvalid="keep", stringOrderType="frequencyDesc"),
         VectorAssembler(inputCols=list(features), outputCol="_raw"),
@@ -59,7 +68,6 @@ def train_classifier(df: DataFrame, label_col: str = "seq_type", features: Seque
         RandomForestClassifier(labelCol="_label", featuresCol="_scaled", predictionCol="_prediction", probabilityCol="_probability", numTrees=trees, featureSubsetStrategy=str(min(mtry, len(features))), minInstancesPerNode=min_n, maxDepth=10, seed=seed),
     ]
     model = Pipeline(stages=steps).fit(learn)
-    learn.unpersist()
     labels = tuple(model.stages[0].labels)
     predicted = IndexToString(inputCol="_prediction", outputCol="predicted", labels=[*labels, "unknown"]).transform(model.transform(test))
     evaluate = MulticlassClassificationEvaluator(labelCol="_label", predictionCol="_prediction")
@@ -72,22 +80,23 @@ def train_classifier(df: DataFrame, label_col: str = "seq_type", features: Seque
         metrics |= {m: evaluate.setMetricName(m).evaluate(predicted) for m in ("f1", "weightedPrecision", "weightedRecall")}
     confusion = predicted.groupBy(label_col).pivot("predicted", list(labels)).count().na.fill(0)
     kept = [features[i] for i in model.stages[2].selectedFeatures]
-    return Classifier(model, metrics, predicted, confusion, dict(zip(kept, map(float, model.stages[-1].featureImportances.toArray()))), label_col, tuple(features), labels)
+    fitted = Classifier(model, metrics, predicted, confusion, dict(zip(kept, map(float, model.stages[-1].featureImportances.toArray()))), label_col, tuple(features), labels)
+    if permute:
+        fitted.importance = permutation_importance(fitted, seed)
+    return fitted
 
 
 def permutation_importance(fitted: Classifier, seed: int = 1) -> dict[str, float]:
     """How much accuracy the test part loses when one feature's values are exchanged between rows, by a seeded order."""
-    from pyspark.sql import Window
-
-    base = fitted.test.select(*fitted.features, fitted.label_col)
+    base = numbered(fitted.test.select(*fitted.features, fitted.label_col), [F.xxhash64(*fitted.features, F.lit(seed))], "_n")
+    n = base.count()
     out = {}
-    for f in fitted.features:
-        place = Window.orderBy(F.xxhash64(*fitted.features, F.lit(seed)))
-        moved = base.withColumn("_n", F.row_number().over(place))
-        values = base.select(F.col(f).alias("_v"), F.row_number().over(Window.orderBy(F.rand(seed))).alias("_n"))
-        mixed = moved.drop(f).join(values, "_n").withColumnRenamed("_v", f).select(*fitted.features, fitted.label_col)
+    for k, f in enumerate(fitted.features):
+        # values move by as many places as the seed says, in an order by hash that is another one for each feature
+        values = numbered(base.select(F.col(f).alias("_v"), F.col("_n").alias("_was")), [F.xxhash64("_was", F.lit(seed + k + 1)), F.col("_was")], "_n").drop("_was")
+        mixed = base.drop(f).join(values, "_n").withColumnRenamed("_v", f).select(*fitted.features, fitted.label_col)
         scored = IndexToString(inputCol="_prediction", outputCol="predicted", labels=[*fitted.labels, "unknown"]).transform(fitted.model.transform(mixed))
-        out[f] = fitted.metrics["accuracy"] - (scored.agg(F.avg((F.col("predicted") == F.col(fitted.label_col)).cast("double"))).first()[0] or 0.0)
+        out[f] = fitted.metrics["accuracy"] - (scored.agg(F.avg((F.col("predicted") == F.col(fitted.label_col)).cast("double"))).first()[0] or 0.0) if n else 0.0
     return out
 
 
@@ -97,7 +106,8 @@ def classify_sequences(fitted: Classifier, df: DataFrame, confidence_threshold:
     Short sequences and those below the threshold get the fallback; whatever ends as the fallback counts as ML_low_confidence.
     """
     columns = df.columns
-    shaped = add_features(df, sequence_col).withColumn(fitted.label_col, F.lit(fitted.labels[0]))
+    # a missing sequence has no bases; it is too short for a label anyway
+    shaped = add_features(df, sequence_col).na.fill(0.0, list(FEATURES)).withColumn(fitted.label_col, F.lit(fitted.labels[0]))
     scored = IndexToString(inputCol="_prediction", outputCol="predicted_label", labels=[*fitted.labels, "unknown"]).transform(fitted.model.transform(shaped))
     scored = scored.withColumn("confidence", F.array_max(vector_to_array("_probability")))
     short = F.coalesce(F.length(sequence_col), F.lit(0)) < min_length

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ampliref.operators.align import kmer_index
 from ampliref.schemas import require_columns
+from ampliref.session import path_exists
 from ampliref.sources.fasta import read_fasta
 
 Fetcher = Callable[[list[str]], str]
@@ -47,8 +48,8 @@ def build_contaminant_set(organisms: DataFrame, out_dir: str, fetcher: Fetcher,
 
 
 def build_index(spark: SparkSession, fasta_paths: list[str], out_path: str) -> DataFrame:
-    """Writes the k-mer index of FASTA files as Parquet, and returns it: (id, kmer, pos)."""
-    missing = [p for p in fasta_paths if not Path(p).exists()]
+    """Writes the k-mer index of FASTA files as Parquet, and returns it: (id, kmer, pos), for the index of search() and contaminated()."""
+    missing = [p for p in fasta_paths if not path_exists(spark, p)]
     if missing:
         raise FileNotFoundError("FASTA file not found: " + ", ".join(missing))
     frames = [read_fasta(spark, p).selectExpr("asv_id as id", "sequence") for p in fasta_paths]

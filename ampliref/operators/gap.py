@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ampliref.operators.align import align_all
 from ampliref.operators.distance import differences, matrix, pair_histogram
 from ampliref.schemas import require_columns
+from ampliref.session import shared_path
 
 MARKERS = ("COI", "12S", "16S", "genome")
 METRIC_TYPES = {
@@ -175,10 +177,20 @@ def gap_metrics(df: DataFrame, max_other: int = 2000, max_congeners: int = 500,
 
 
 def align_width(df: DataFrame, mode: str) -> DataFrame:
-    """Sequences of a marker made one width. mode: require (as they are, else an error row), trim (to the shortest)."""
+    """Sequences of a marker made one width. mode: align (all of a marker around its centre, where they differ in width),
+    require (as they are, else an error row), trim (to the shortest)."""
     if mode == "trim":
         least = df.groupBy("marker").agg(F.min(F.length("aligned")).alias("_least"))
         return df.join(F.broadcast(least), "marker").withColumn("aligned", F.substring("aligned", F.lit(1), F.col("_least"))).drop("_least")
+    if mode == "align":
+        uneven = [r["marker"] for r in df.groupBy("marker").agg((F.min(F.length("aligned")) != F.max(F.length("aligned"))).alias("u")).where("u").collect()]  # a row a marker
+        if uneven:
+            wide = df.where(F.col("marker").isin(uneven)).select("marker", F.struct("species", "genus", "id").alias("row"), "aligned")
+            made = align_all(wide, "marker", "row", "aligned").select("marker", "id.species", "id.genus", "id.id", "aligned")
+            # the metrics read it many times
+            path = shared_path(df.sparkSession, "aligned")
+            made.write.parquet(path)
+            return df.where(~F.col("marker").isin(uneven)).select(*made.columns).unionByName(df.sparkSession.read.schema(made.schema).parquet(path))
     return df
 
 
@@ -188,11 +200,12 @@ def failed_row(df: DataFrame, message: Column) -> DataFrame:
     return df.select("species", "marker", "n_sequences", *empty, F.lit(None).cast("string").alias("sampling_adequacy"), F.lit(None).cast("string").alias("taxonomic_resolution"), F.lit(None).cast("boolean").alias("gap_may_be_undersampling_artifact"), message.alias("error_msg"))
 
 
-def run_barcode_gap(df: DataFrame, markers: Sequence[str] = MARKERS, species_col: str = "species", genus_col: str | None = None, gene_col: str = "seq_type", sequence_col: str = "sequence", qc_flag_col: str | None = "qc_flag", id_col: str = "unique_code", min_seqs: int = 5, alignment: str = "require", max_other: int = 2000, max_congeners: int = 500, max_diagnostic: int = 500) -> DataFrame:
+def run_barcode_gap(df: DataFrame, markers: Sequence[str] = MARKERS, species_col: str = "species", genus_col: str | None = None, gene_col: str = "seq_type", sequence_col: str = "sequence", qc_flag_col: str | None = "qc_flag", id_col: str = "unique_code", min_seqs: int = 5, alignment: str = "align", max_other: int = 2000, max_congeners: int = 500, max_diagnostic: int = 500) -> DataFrame:
     """Gap metrics of all species of all markers, with assignment_risk and recommended_threshold.
 
     Rows that pass count, of species with at least min_seqs. The genus is genus_col, else a column genus, else the
-    species' first word. Markers whose sequences differ in width give rows with error_msg unless alignment is "trim".
+    species' first word. Markers whose sequences differ in width are aligned; with alignment "require" they give rows with error_msg instead, and
+    "trim" cuts them to the shortest.
     recommended_threshold: the 95th percentile of max_intra in the marker times 1.05, at least 0.97.
     """
     require_columns(df, [species_col, gene_col, sequence_col])

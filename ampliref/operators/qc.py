@@ -9,14 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampliref.functions.sequences import check_codons, check_rrna, clean_sequence
-from ampliref.operators.align import KMER, contaminated, kmers
+from ampliref.operators.align import contaminated
 from ampliref.operators.distance import terminal_branches
 from ampliref.schemas import require_columns
 
 #: Flag name -> boolean column, in the order in which flags are joined.
 CHECKS = {"contaminant": "is_contaminant", "numt": "is_numt", "internal_stop": "has_stop", "frameshifted": "frameshifted", "sequence_short": "has_short", "sequence_gap": "has_gaps"}
-#: Up to this many NUMT sequences are broadcast and looked for one by one; more go through shared k-mers.
-BROADCAST_NUMTS = 2_000
+#: Tips of a tree from which branches are judged.
+LEAST_TIPS = 5
+#: Characters of all NUMTs up to which they are broadcast and looked for one by one; more are found by their first SEED
+#: characters. Both ways compare the same strings and find the same rows.
+BROADCAST_CHARS, SEED = 1 << 20, 16
 
 
 def screen_numts(df: DataFrame, numts: DataFrame | None, sequence_col: str = "sequence", out: str = "is_numt") -> DataFrame:
@@ -26,15 +29,18 @@ def screen_numts(df: DataFrame, numts: DataFrame | None, sequence_col: str = "se
         return df.withColumn(out, F.lit(False))
     parts = numts.select(F.col("sequence").alias("_numt")).where("_numt != ''").distinct()
     distinct = df.select(F.col(sequence_col).alias("_seq")).where(F.col("_seq").isNotNull()).distinct()
-    if parts.limit(BROADCAST_NUMTS + 1).count() <= BROADCAST_NUMTS:
+    if (parts.agg(F.sum(F.length("_numt"))).first()[0] or 0) <= BROADCAST_CHARS:
         hit = distinct.join(F.broadcast(parts), F.col("_seq").contains(F.col("_numt")), "left_semi")
     else:
-        # a NUMT is in a sequence only if its first k-mer is; shorter ones are compared with each sequence
-        short = parts.where(F.length("_numt") < KMER)
-        seeds = parts.where(F.length("_numt") >= KMER).select("_numt", F.substring("_numt", 1, KMER).alias("kmer"))
-        spread = kmers(distinct.select(F.col("_seq").alias("id"), F.col("_seq").alias("sequence"))).select(F.col("id").alias("_seq"), "kmer").distinct()
-        hit = spread.join(seeds, "kmer").where(F.col("_seq").contains(F.col("_numt"))).select("_seq").distinct()
-        hit = hit.unionByName(distinct.join(short, F.col("_seq").contains(F.col("_numt")), "left_semi")).distinct()
+        # a NUMT is in a sequence only if its first characters are, whatever they are; shorter ones are whole windows
+        size = F.least(F.length("_numt"), F.lit(SEED))
+        keyed = parts.select("_numt", F.substring("_numt", F.lit(1), size).alias("_key"))
+        sizes = sorted(r[0] for r in keyed.select(F.length("_key")).distinct().collect())  # at most SEED
+        known = distinct.withColumn("_sha", F.sha2("_seq", 256))
+        windows = [F.when(F.length("_seq") >= k, F.expr(f"transform(sequence(1, length(_seq) - {k - 1}), i -> substring(_seq, i, {k}))")).otherwise(F.array().cast("array<string>")) for k in sizes]
+        spread = known.select("_sha", F.explode(F.array_distinct(F.concat(*windows))).alias("_key"))
+        met = spread.join(keyed, "_key").select("_sha", "_numt")
+        hit = met.join(known, "_sha").where(F.col("_seq").contains(F.col("_numt"))).select("_seq").distinct()
     hit = hit.withColumn("_hit", F.lit(True))
     return df.join(hit, df[sequence_col] == hit["_seq"], "left").withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit", "_seq")
 
@@ -59,20 +65,22 @@ def check_divergence(df: DataFrame, species_col: str = "species", gene_col: str
     """Adds div_result per row: insufficient_data, high_length_variation, divergent, pass or processing_error.
 
     A row diverges when its terminal branch is longer than both outlier_floor and outlier_mult times the median of its
-    species and gene. Branches are estimated without a tree from k-mer distances to a bounded set of the group's members.
+    species and gene; groups of fewer than five tips have no outliers. Branches are those of the group's distances by
+    k-mers (see terminal_branches). A sequence without a k-mer has no place in a tree: tree_error.
     """
     require_columns(df, [species_col, gene_col, sequence_col, id_col])
     size = F.length(sequence_col)
     groups = df.groupBy(F.col(species_col).alias("_sp"), F.col(gene_col).alias("_ge")).agg(F.count(F.lit(1)).alias("_n"), F.max(size).alias("_hi"), F.min(size).alias("_lo"))
     status = F.when(F.col("_n") < min_seqs, "insufficient_data").when(F.coalesce(F.col("_hi") > 100 * F.col("_lo"), F.lit(True)), "high_length_variation")
+    status = F.coalesce(status, F.when(F.col("_n") < LEAST_TIPS, "pass"))
     groups = groups.select("_sp", "_ge", status.alias("_status"))
     known = df.join(groups, df[species_col].eqNullSafe(groups["_sp"]) & df[gene_col].eqNullSafe(groups["_ge"]), "left").drop("_sp", "_ge")
     asked = known.where(F.col("_status").isNull()).select(F.concat_ws("\x01", F.coalesce(species_col, F.lit("")), F.coalesce(gene_col, F.lit(""))).alias("group"), F.col(id_col).alias("id"), F.col(sequence_col).alias("sequence"))
     branches = terminal_branches(asked)
-    medians = branches.groupBy("group").agg(F.percentile("branch", 0.5).alias("_median")).withColumnRenamed("group", "_group")
-    judged = branches.join(medians, F.col("group") == F.col("_group"))
+    medians = branches.where(~F.isnan("branch")).groupBy("group").agg(F.percentile("branch", 0.5).alias("_median")).withColumnRenamed("group", "_group")
+    judged = branches.join(medians, F.col("group") == F.col("_group"), "left")
     outlier = (F.col("branch") > F.greatest(F.col("_median") * outlier_mult, F.lit(outlier_floor))) & (F.col("branch") > outlier_floor)
-    judged = judged.select(F.col("id").alias("_id"), F.when(F.isnan("branch"), "processing_error").when(outlier, "divergent").otherwise("pass").alias("_judged")).distinct()
+    judged = judged.select(F.col("id").alias("_id"), F.when(F.isnan("branch"), "tree_error").when(outlier, "divergent").otherwise("pass").alias("_judged")).distinct()
     out = known.join(judged, known[id_col] == judged["_id"], "left")
     return out.withColumn("div_result", F.coalesce("_status", "_judged", F.lit("processing_error"))).drop("_status", "_judged", "_id")
 

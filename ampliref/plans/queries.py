@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ampliref.functions import lineage, markers, sequences
 from ampliref.operators import align, assign, classify, curate, diagnostics, distance, gap, phylogeny, qc, query, taxonomy
 from ampliref.plans import sql, views
+from ampliref.session import shared_path
 from ampliref.sources import export, fasta
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -367,8 +368,9 @@ def numt_screen(spark, d):
 
 @registered("codon_check", sql.query(sql.codons(), "genes"))
 def codon_check(spark, d):
-    g = views.genes(spark, d).withColumn("c", sequences.check_codons(F.col("sequence"), F.col("gene")))
-    return g.where("c is not null").select("row_ord", "c.*")
+    # what check_codons asks of a row, so that the filter doesn't make the result once more
+    g = views.genes(spark, d).where(F.col("gene").isin("COI", "complete_genome") & (F.length("sequence") >= 3))
+    return g.withColumn("c", sequences.check_codons(F.col("sequence"), F.col("gene"))).select("row_ord", "c.*")
 
 
 @registered("rrna_check", sql.query("SELECT row_ord, length(sequence) < 100 AS has_short, regexp_matches(sequence, '[^ACGT]') AS has_gaps FROM genes WHERE gene IN ('12S', '16S')", "genes"))
@@ -445,15 +447,20 @@ def run_barcode_gap(spark, d):
     return out.select(*_GAP_OUT, *[F.round(c, 4 if c in four else 9).alias(c) for c in sql.GAP_COLUMNS])
 
 
-@registered("barcode_gap_species")
+_SPECIES_OUT = ["species", "marker", "n_sequences", "gap_exists", "robust_gap", "n_congeners_in_db", "n_diagnostic_sites", "sampling_adequacy", "taxonomic_resolution"]
+
+
+@registered("barcode_gap_species", sql.gap(", ".join(_SPECIES_OUT), least=1))
 def barcode_gap_species(spark, d):
     a = views.aligned(spark, d).select("marker", "species", "genus", F.col("unique_code").alias("id"), "aligned")
-    return gap.gap_metrics(a)
+    four = {"p_overlap", "q_overlap", "congeneric_p_overlap", "congeneric_q_overlap"}
+    made = gap.gap_metrics(a, 1_000_000, 1_000_000, 1_000_000)
+    return made.select(*_SPECIES_OUT, *[F.round(c, 4 if c in four else 9).alias(c) for c in sql.GAP_COLUMNS])
 
 
-@registered("barcode_gap_filter", sql.query(f"SELECT species, marker, gap_exists FROM ({sql.gap()}) WHERE marker IN ('COI', '16S') AND species IN ('Genus1 sp1', 'Genus2 sp11', 'Genus5 sp5')"))
+@registered("barcode_gap_filter", sql.query(f"SELECT species, marker, gap_exists FROM ({sql.gap()}) WHERE marker IN ('COI', '16S') AND species IN ('Genus1 sp1', 'Genus2 sp5', 'Genus0 sp9')"))
 def barcode_gap_filter(spark, d):
-    return diagnostics.barcode_gap(_gap(spark, d), ["Genus1 sp1", "Genus2 sp11", "Genus5 sp5"], ["COI", "16S"]).select("species", "marker", "gap_exists")
+    return diagnostics.barcode_gap(_gap(spark, d), ["Genus1 sp1", "Genus2 sp5", "Genus0 sp9"], ["COI", "16S"]).select("species", "marker", "gap_exists")
 
 
 @registered("gap_summary_crosstab", f"SELECT marker, count(*) FILTER (gap_exists) AS gap, count(*) FILTER (NOT gap_exists) AS no_gap FROM ({sql.gap()}) GROUP BY 1")
@@ -469,8 +476,8 @@ def diagnostic_sites(spark, d):
 
 _PURINE = "(x IN ('A', 'G')) = (y IN ('A', 'G'))"
 _K80 = """SELECT distance, count(*) AS n FROM (SELECT round(CASE WHEN 1 - 2 * p - q > 0 AND 1 - 2 * q > 0 THEN -0.5 * ln(1 - 2 * p - q) - 0.25 * ln(1 - 2 * q) END, 6) + 0.0 AS distance FROM
-    (SELECT (SELECT count(*) FROM range(1, 61) t(i) WHERE substr(a.aligned, i::int, 1) <> substr(b.aligned, i::int, 1) AND (substr(a.aligned, i::int, 1) IN ('A', 'G')) = (substr(b.aligned, i::int, 1) IN ('A', 'G'))) / 60.0::double AS p,
-            (SELECT count(*) FROM range(1, 61) t(i) WHERE (substr(a.aligned, i::int, 1) IN ('A', 'G')) <> (substr(b.aligned, i::int, 1) IN ('A', 'G'))) / 60.0::double AS q
+    (SELECT (SELECT count(*) FROM range(1, 65) t(i) WHERE substr(a.aligned, i::int, 1) <> substr(b.aligned, i::int, 1) AND (substr(a.aligned, i::int, 1) IN ('A', 'G')) = (substr(b.aligned, i::int, 1) IN ('A', 'G'))) / 64.0::double AS p,
+            (SELECT count(*) FROM range(1, 65) t(i) WHERE (substr(a.aligned, i::int, 1) IN ('A', 'G')) <> (substr(b.aligned, i::int, 1) IN ('A', 'G'))) / 64.0::double AS q
      FROM ok a JOIN ok b ON a.row_ord < b.row_ord)) GROUP BY 1"""
 
 
@@ -482,7 +489,7 @@ def k80_distance(spark, d):
 
 @registered("gene_tree")
 def gene_tree(spark, d):
-    tree = phylogeny.build_gene_tree(views.refs(spark, d), "16S", min_length=100, outgroup="^Genus0")
+    tree = phylogeny.build_gene_tree(views.aligned(spark, d), "16S", "marker", sequence_col="aligned", min_length=views.WIDTH, outgroup="^Genus0")
     return tree.dataframe(spark)
 
 
@@ -497,7 +504,7 @@ def contaminant_screen(spark, d):
 
 @registered("assign_kmer")
 def assign_kmer(spark, d):
-    return assign.assign(views.asvs(spark, d), views.refs(spark, d), method="blastn")
+    return assign.assign(views.asvs(spark, d, every=50), views.refs(spark, d), method="blastn")
 
 
 @registered("divergence")
@@ -549,12 +556,8 @@ for _format, _header in (
         return export.headers(_coded(spark, d), format, "row_ord").select("row_ord", "header", "taxonomy")
 
 
-@registered("fasta_roundtrip")
+@registered("fasta_roundtrip", sql.query("SELECT 'seq_' || row_ord AS asv_id, sequence FROM refs", "refs"))
 def fasta_roundtrip(spark, d):
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{root.rstrip('/')}/fasta-{uuid.uuid4().hex}"
+    path = shared_path(spark, "fasta")
     fasta.write_fasta(export.headers(views.refs(spark, d), "qiime2", "row_ord"), path)
     return fasta.read_fasta(spark, path).select("asv_id", "sequence")

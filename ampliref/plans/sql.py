@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ampliref.functions.markers import MARKER_PATTERNS, MULTI_GENE, OTHER_GENE
-from ampliref.plans.views import BASES, DESCRIPTIONS, LETTERS
+from ampliref.plans.views import BASES, BOUNDS, DESCRIPTIONS, LETTERS, WIDTH
 
 CLEAN = "upper(regexp_replace({}, '\\s+', '', 'g'))"
 DNA = f"translate(upper(regexp_replace(regexp_replace({{}}, '\\s+', '', 'g'), '[^A-Za-z]', 'N', 'g')), '{LETTERS}', '{BASES}')"
@@ -17,19 +17,20 @@ VIEWS = {
         CASE WHEN d.doc_id % 4 = 0 THEN 'introduced' ELSE 'native' END AS occurrence, 'f' AS habitat,
         CASE WHEN l.doc_id IS NULL OR (quality = 1 AND toxic = 0) THEN 'pass' WHEN quality = 1 THEN 'contaminant' WHEN toxic = 0 THEN 'manual_review_needed' ELSE 'contaminant|manual_review_needed' END AS qc_flag,
         {DNA.format('d.text')} AS sequence FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
-    "asvs": f"""SELECT 'ASV_' || row_ord AS asv_id, sequence, row_ord AS ord FROM refs WHERE row_ord % 10 = 0
+    "asvs": f"""SELECT 'ASV_' || row_ord AS asv_id, sequence, row_ord AS ord FROM refs
         UNION ALL SELECT 'BENCH_' || item_id, {DNA.format('text')}, item_id + 1000000000 FROM benchmark""",
     "hits": """SELECT *, sqrt(qcov * scovs) AS ccovs FROM (SELECT 'ASV_' || (l_orderkey % 4000) AS asv_id, 'Sp' || (l_suppkey % 20) AS species, 'Gen' || (l_suppkey % 5) AS genus, 'Fam' || (l_suppkey % 2) AS family,
         95.0::double + l_partkey % 6 AS pident, 0.6::double + 0.2::double * (l_linenumber % 3) AS qcov, 0.9::double AS scovs, 1e-50::double AS evalue, 100.0::double + l_suppkey % 4 AS bitscore, 1.5::double AS bitscore_pb FROM lineitem)""",
-    "aligned": """SELECT row_ord, unique_code, species, genus, seq_type AS marker, repeat('T', (row_ord % 45)::int) || 'A' || repeat('T', 44 - (row_ord % 45)::int) ||
-        CASE WHEN row_ord % 9 < 4 THEN repeat('C', 15) ELSE substr(sequence, 1, 15) END AS aligned FROM refs WHERE qc_flag = 'pass' AND length(sequence) >= 15""",
-    "numts": "SELECT DISTINCT substr(sequence, 11, 40) AS numt FROM refs WHERE row_ord % 97 = 0 AND length(sequence) >= 60",
+    "aligned": f"""SELECT vec_id AS row_ord, 'vec_' || vec_id AS unique_code, 'Genus' || (label % 3) || ' sp' || label AS species, 'Genus' || (label % 3) AS genus,
+        CASE vec_id % 4 WHEN 0 THEN 'COI' WHEN 1 THEN '12S' WHEN 2 THEN '16S' ELSE 'genome' END AS marker,
+        array_to_string(list_transform(embedding, lambda x: CASE WHEN x < {BOUNDS[0]} THEN 'A' WHEN x < {BOUNDS[1]} THEN 'C' WHEN x < {BOUNDS[2]} THEN 'G' ELSE 'T' END), '') AS aligned FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL""",
+    "numts": f"SELECT DISTINCT {DNA.format('text')} AS numt FROM benchmark",
     "genes": "SELECT *, CASE WHEN row_ord % 17 = 0 THEN 'other' WHEN seq_type = 'genome' THEN 'complete_genome' ELSE seq_type END AS gene FROM refs",
     "descriptions": f"SELECT p_partkey, p_name || ' ' || ([{', '.join(repr(x) for x in DESCRIPTIONS)}])[(p_size % {len(DESCRIPTIONS)} + 1)::int] AS description FROM part",
     "exact": f"""SELECT a.asv_id, r.species, r.genus, r.family, 100.0::double AS pident, 1.0::double AS qcov, 1.0::double AS scovs, 1.0::double AS ccovs, 0.0::double AS evalue, length(a.sequence)::double AS bitscore, 1.0::double AS bitscore_pb
         FROM asvs a JOIN refs r ON a.sequence = r.sequence WHERE r.qc_flag = 'pass'""",
 }
-_NEEDS = {"asvs": ["refs"], "aligned": ["refs"], "numts": ["refs"], "genes": ["refs"], "exact": ["refs", "asvs"]}
+_NEEDS = {"asvs": ["refs"], "genes": ["refs"], "exact": ["refs", "asvs"]}
 
 
 def query(body: str, *views: str, **more: str) -> str:
@@ -95,12 +96,12 @@ def codons() -> str:
 GAP_COLUMNS = ["max_intra", "min_inter", "gap_width", "p_overlap", "q_overlap", "median_intra", "median_inter", "intra_95", "inter_5", "percentile_gap", "min_congeneric", "congeneric_gap", "congeneric_p_overlap", "congeneric_q_overlap"]
 
 
-def gap() -> str:
-    """run_barcode_gap over aligned, without caps, doubles rounded."""
+def gap(columns: str | None = None, least: int = 5) -> str:
+    """run_barcode_gap over aligned, without caps, doubles rounded; of species with at least so many rows."""
     four = {"p_overlap", "q_overlap", "congeneric_p_overlap", "congeneric_q_overlap"}
     out = ", ".join(f"round({c}, {4 if c in four else 9}) AS {c}" for c in GAP_COLUMNS)
     return query(
-        f"""SELECT species, marker, n_sequences, gap_exists, robust_gap, n_congeners_in_db, n_diagnostic_sites, sampling_adequacy, taxonomic_resolution, assignment_risk, recommended_threshold, {out} FROM
+        f"""SELECT {columns or "species, marker, n_sequences, gap_exists, robust_gap, n_congeners_in_db, n_diagnostic_sites, sampling_adequacy, taxonomic_resolution, assignment_risk, recommended_threshold"}, {out} FROM
         (SELECT *, CASE WHEN gap_exists AND gap_width > 0.02 THEN 'low' WHEN gap_exists THEN 'moderate' ELSE 'high' END AS assignment_risk,
             round(greatest(quantile_cont(max_intra, 0.95) OVER (PARTITION BY marker) * 1.05, 0.97), 3) AS recommended_threshold,
             CASE WHEN gap_exists THEN 'species' WHEN coalesce(congeneric_gap > 0, false) THEN 'species (congener-supported)' ELSE 'genus_or_higher' END AS taxonomic_resolution,
@@ -111,8 +112,8 @@ def gap() -> str:
             list_count(list_filter(cs, lambda d: d < max_intra)) / len(cs)::double AS congeneric_q_overlap, coalesce(n_diag, 0)::int AS n_diagnostic_sites
         FROM i JOIN x USING (marker, species) LEFT JOIN c USING (marker, species) LEFT JOIN diag USING (marker, species)))""",
         "aligned",
-        a="SELECT * FROM aligned QUALIFY count(*) OVER (PARTITION BY marker, species) >= 5",
-        pairs="SELECT f.marker, f.species, o.species AS other, f.genus, o.genus AS ogenus, f.row_ord AS x, o.row_ord AS y, hamming(f.aligned, o.aligned) / 60.0::double AS d FROM a f JOIN a o ON f.marker = o.marker",
+        a=f"SELECT * FROM aligned QUALIFY count(*) OVER (PARTITION BY marker, species) >= {least}",
+        pairs="SELECT f.marker, f.species, o.species AS other, f.genus, o.genus AS ogenus, f.row_ord AS x, o.row_ord AS y, hamming(f.aligned, o.aligned) / 64.0::double AS d FROM a f JOIN a o ON f.marker = o.marker",
         s="SELECT marker, species, count(*)::int AS n_sequences, any_value(genus) AS genus FROM a GROUP BY ALL",
         g="SELECT marker, genus, count(DISTINCT species) - 1 AS n_congeners_in_db FROM a GROUP BY ALL",
         i="SELECT s.marker, s.species, s.n_sequences, g.n_congeners_in_db::int AS n_congeners_in_db, list(d) AS ds, max(d) AS max_intra, quantile_cont(d, 0.5) AS median_intra, quantile_cont(d, 0.95) AS intra_95 FROM s JOIN g USING (marker, genus) JOIN pairs p ON p.marker = s.marker AND p.species = s.species AND p.other = s.species AND p.x < p.y GROUP BY ALL",
@@ -124,7 +125,7 @@ def gap() -> str:
 
 def _diagnostic(view: str) -> dict[str, str]:
     return {
-        "bases": f"SELECT marker, species, p, substr(aligned, p::int, 1) AS base, count(*) AS n FROM {view}, range(1, 61) t(p) GROUP BY ALL",
+        "bases": f"SELECT marker, species, p, substr(aligned, p::int, 1) AS base, count(*) AS n FROM {view}, range(1, {WIDTH + 1}) t(p) GROUP BY ALL",
         "total": "SELECT marker, p, base, sum(n) AS n FROM bases GROUP BY ALL",
         "size": f"SELECT marker, species, count(*) AS size FROM {view} GROUP BY ALL",
         "diag": "SELECT b.marker, b.species, count(DISTINCT b.p) AS n_diag FROM bases b JOIN total t USING (marker, p, base) JOIN size z ON z.marker = b.marker AND z.species = b.species WHERE b.n >= 0.9 * z.size AND b.n = t.n GROUP BY ALL",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A to Z as A, C, G, T in turn; N stays.
 BASES = "".join("N" if x == "N" else "ACGT"[i % 4] for i, x in enumerate(LETTERS))
-WIDTH, PLANT = 60, 45
+#: Places of a vector in the embeddings, and bounds of the values that stand for the four bases.
+WIDTH, BOUNDS = 64, (-0.125, 0.0, 0.125)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +46,9 @@ def refs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def asvs(spark: SparkSession, d: str) -> DataFrame:
-    """ASVs that the references have, one in ten of them, and benchmark texts."""
-    own = refs(spark, d).where(F.col("row_ord") % 10 == 0).select(F.concat(F.lit("ASV_"), _text("row_ord")).alias("asv_id"), "sequence", F.col("row_ord").alias("ord"))
+def asvs(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
+    """All references and benchmark texts as ASVs. every: of the references only those whose number it divides, as queries of a search."""
+    own = refs(spark, d).where(F.col("row_ord") % every == 0).select(F.concat(F.lit("ASV_"), _text("row_ord")).alias("asv_id"), "sequence", F.col("row_ord").alias("ord"))
     bench = table(spark, d, "benchmark").select(F.concat(F.lit("BENCH_"), _text("item_id")).alias("asv_id"), dna(F.col("text")).alias("sequence"), (F.col("item_id") + 1_000_000_000).alias("ord"))
     return own.unionByName(bench)
 
@@ -90,16 +91,18 @@ def descriptions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def aligned(spark: SparkSession, d: str) -> DataFrame:
-    """References that pass, 60 wide: a block that tells the species, then the first natural bases, equal for some genera."""
-    rows = refs(spark, d).where((F.col("qc_flag") == "pass") & (F.length("sequence") >= WIDTH - PLANT))
-    at = (F.col("row_ord") % 45).cast("int")
-    plant = F.concat(F.repeat(F.lit("T"), at), F.lit("A"), F.repeat(F.lit("T"), F.lit(PLANT - 1) - at))
-    tail = F.when(F.col("row_ord") % 9 < 4, F.lit("C" * (WIDTH - PLANT))).otherwise(F.substring("sequence", 1, WIDTH - PLANT))
-    return rows.select("row_ord", "unique_code", "species", "genus", F.col("seq_type").alias("marker"), F.concat(plant, tail).alias("aligned"))
+    """Sequences of one width: a row per embedding, a base per place of the whole vector; its label is the species."""
+    low, middle, high = BOUNDS
+    base = lambda x: F.when(x < low, "A").when(x < middle, "C").when(x < high, "G").otherwise("T")
+    rows = table(spark, d, "embeddings").where("embedding is not null and label is not null")
+    i, genus = F.col("vec_id"), F.concat(F.lit("Genus"), _text(F.col("label") % 3))
+    marker = F.when(i % 4 == 0, "COI").when(i % 4 == 1, "12S").when(i % 4 == 2, "16S").otherwise("genome")
+    return rows.select(i.alias("row_ord"), F.concat(F.lit("vec_"), _text(i)).alias("unique_code"), F.concat(genus, F.lit(" sp"), _text("label")).alias("species"), genus.alias("genus"), marker.alias("marker"), F.array_join(F.transform("embedding", base), "").alias("aligned"))
 
 
 def numts(spark: SparkSession, d: str) -> DataFrame:
-    return refs(spark, d).where((F.col("row_ord") % 97 == 0) & (F.length("sequence") >= 60)).select(F.substring("sequence", 11, 40).alias("sequence"))
+    """Benchmark texts, whole, which some documents hold."""
+    return table(spark, d, "benchmark").select(dna(F.col("text")).alias("sequence"))
 
 
 def genes(spark: SparkSession, d: str) -> DataFrame:

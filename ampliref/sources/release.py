@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import asdict, dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampliref.schemas import QC, RAW
+from ampliref.session import children, is_file, path_exists
 from ampliref.sources import install
 from ampliref.sources.sqlite import import_sqlite
 
@@ -31,6 +32,22 @@ class Manifest:
         return spark.createDataFrame([tuple(asdict(self).values())], "doi string, record string, filename string, url string, size_bytes long, md5 string")
 
 
+def read_manifest(path: str) -> Manifest:
+    """A manifest from a JSON file; its url, size_bytes and md5 are what install() enforces."""
+    with open(path, encoding="utf-8") as f:
+        return Manifest(**json.load(f))
+
+
+def install_release(manifest: Manifest, dest: str | None = None, **options) -> str:
+    """install() of what a manifest says, refused unless size and checksum are those it names."""
+    return install.install(manifest.url, dest, manifest=manifest, **options)
+
+
+def demo_subset(final: DataFrame, n: int = 200, order: list[str] | None = None) -> DataFrame:
+    """The first n rows in order, as a demo release holds them: a top-k, which Spark takes from each task's first n."""
+    return final.orderBy(*(order or ["unique_code"])).limit(n)
+
+
 def write_release(out_dir: str, tables: dict[str, DataFrame], partition_final: bool = True) -> str:
     """Tables as Parquet; the final one in a folder per marker, which queries for a marker then read alone."""
     for name, df in tables.items():
@@ -61,10 +78,10 @@ class Release:
     """Tables of a release. Each becomes a temporary view, prefixed so that several releases can be open."""
 
     def __init__(self, spark: SparkSession, path: str, prefix: str = ""):
-        if not Path(path).exists():
+        if not path_exists(spark, path):
             raise FileNotFoundError("Database file does not exist: " + path)
         self.spark, self.path, self.prefix = spark, path, prefix
-        self.frames = {p.name.removesuffix(".parquet"): spark.read.parquet(str(p)) for p in sorted(Path(path).glob("*.parquet"))}
+        self.frames = {n.removesuffix(".parquet"): spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in children(spark, path) if n.endswith(".parquet")}
         for name, df in self.frames.items():
             df.createOrReplaceTempView(prefix + name)
 
@@ -100,7 +117,7 @@ class Release:
 
 def available_datasets(spark: SparkSession, bundled: str | None = None, demo: str | None = None) -> DataFrame:
     """(name, version, path) of the release that connect() takes by default: a bundled one, a cached one, or the demo."""
-    path = next((p for p in (bundled, install.find_full(), demo) if p and Path(p).exists()), "")
+    path = next((p for p in (bundled, install.find_full(), demo) if p and path_exists(spark, str(p))), "")
     version = "demo" if path == (demo or "") else "full-local"
     return spark.createDataFrame([("reference", version, path)], "name string, version string, path string")
 
@@ -111,9 +128,9 @@ def connect(spark: SparkSession, path: str | None = None, download: bool = False
         if download and not install.available():
             install.install(url if url is not None else install.db_url(), downloader=downloader)
         path = available_datasets(spark, demo=demo).first()["path"]
-    if not path or not Path(path).exists():
+    if not path or not path_exists(spark, str(path)):
         raise FileNotFoundError("Database file does not exist: " + str(path))
-    if Path(path).is_file():
+    if is_file(spark, str(path)):
         out = path + ".parquet.d"
         if not os.path.isdir(out) or os.path.getmtime(out) < os.path.getmtime(path):
             import_sqlite(spark, path, out)

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ampliref.operators import diagnostics
 from ampliref.operators.query import Values
+from ampliref.session import path_exists
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header, inferred types, UTF-8."""
-    if "://" not in path and not Path(path).exists():
+    if not path_exists(spark, path):
         raise FileNotFoundError("File not found: " + path)
     return spark.read.csv(path, header=True, inferSchema=True, encoding="UTF-8", quote='"', escape='"', multiLine=True, nullValue="NA")
 

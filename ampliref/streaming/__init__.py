@@ -11,8 +11,9 @@ from ampliref.functions.sequences import clean_sequence
 def stream_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(asv_id, sequence) of the FASTA files that appear in a folder, as a stream."""
     text = spark.readStream.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    body = F.when(F.instr("value", "\n") > 0, F.substring_index("value", "\n", -1000000)).otherwise("")
-    return text.select(F.regexp_extract("value", r"^\s*(\S*)", 1).alias("asv_id"), clean_sequence(F.regexp_replace(body, r"^[^\n]*\n?", "")).alias("sequence")).where("asv_id != ''")
+    end = F.instr("value", "\n")
+    body = F.when(end > 0, F.col("value").substr(end + 1, F.length("value"))).otherwise("")
+    return text.select(F.regexp_extract("value", r"^\s*(\S*)", 1).alias("asv_id"), clean_sequence(body).alias("sequence")).where("asv_id != ''")
 
 
 def assign_stream(asvs: DataFrame, refs: DataFrame) -> DataFrame:
