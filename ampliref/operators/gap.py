@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliref.operators.align import align_all
+from ampliref.operators.align import align_nested
 from ampliref.operators.distance import differences, matrix, pair_histogram
 from ampliref.schemas import require_columns
 from ampliref.session import shared_path
@@ -177,7 +177,7 @@ def gap_metrics(df: DataFrame, max_other: int = 2000, max_congeners: int = 500,
 
 
 def align_width(df: DataFrame, mode: str) -> DataFrame:
-    """Sequences of a marker made one width. mode: align (all of a marker around its centre, where they differ in width),
+    """Sequences of a marker made one width. mode: align (each species of a marker, then its species, where widths differ),
     require (as they are, else an error row), trim (to the shortest)."""
     if mode == "trim":
         least = df.groupBy("marker").agg(F.min(F.length("aligned")).alias("_least"))
@@ -185,8 +185,8 @@ def align_width(df: DataFrame, mode: str) -> DataFrame:
     if mode == "align":
         uneven = [r["marker"] for r in df.groupBy("marker").agg((F.min(F.length("aligned")) != F.max(F.length("aligned"))).alias("u")).where("u").collect()]  # a row a marker
         if uneven:
-            wide = df.where(F.col("marker").isin(uneven)).select("marker", F.struct("species", "genus", "id").alias("row"), "aligned")
-            made = align_all(wide, "marker", "row", "aligned").select("marker", "id.species", "id.genus", "id.id", "aligned")
+            wide = df.where(F.col("marker").isin(uneven)).select("marker", "species", F.struct("genus", "id").alias("row"), "aligned")
+            made = align_nested(wide, "marker", "species", "row", "aligned").select("marker", "species", "id.genus", "id.id", "aligned")
             # the metrics read it many times
             path = shared_path(df.sparkSession, "aligned")
             made.write.parquet(path)
