@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,10 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="ampliref-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+#: Tables that this process has written and not dropped, in order.
+_WRITTEN: list[str] = []
+
+
+def written() -> int:
+    """How many tables stand; for drop_since()."""
+    return len(_WRITTEN)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: int = 0) -> None:
+    """Deletes the tables that materialize() wrote since written() was mark, but for the last `keep`, when no DataFrame reads them any more."""
+    gone = _WRITTEN[mark : len(_WRITTEN) - keep]
+    del _WRITTEN[mark : len(_WRITTEN) - keep]
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and lost executors cost no rework."""
     spark, most = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -44,6 +65,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(most, before)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

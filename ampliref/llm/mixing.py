@@ -111,12 +111,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 7,
 def resampled(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 7) -> DataFrame:
     """The rows of docs as often as the mix takes them: taken / size times, a fraction rounded by a seeded draw.
 
-    Rows with words that the mix takes stay, whole; columns are those of docs. A document without words isn't taken.
+    Rows with words that the mix takes stay, whole; columns are those of docs. A document without words isn't taken. Rows
+    are told apart by identifier, text and source, so a null identifier or one that several texts share is no matter; of
+    rows that agree in all three each gets the floor of their mean number of copies.
     """
-    mixed = mix(docs, weights, seed).where("taken > 0")
+    key = F.xxhash64(F.lit("row"), F.col("doc_id"), F.col("doc_id").isNull(), F.col("text"), F.col("source"))
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("_row"), "text", "source")
+    mixed = mix(marked, weights, seed, id_col="_row").where("taken > 0")
     times = F.col("taken") / F.col("size")
     draw = F.pmod(F.xxhash64(F.lit(seed + 3), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
     times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.sum(F.floor(times + draw)).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
     times = times.select("_id", F.floor(F.col("_sum") / F.col("_rows")).cast("int").alias("_times")).where("_times > 0")
-    kept = docs.join(times, docs["doc_id"] == times["_id"])
-    return kept.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    kept = marked.select("row", "_row").join(times, F.col("_row") == F.col("_id"))
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("row.*")

@@ -33,7 +33,7 @@ RULES = (
     Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{6,})", r"(?:[pP][aA][sS][sS](?:[wW][oO][rR][dD]|[wW][dD])|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*+[:=]\x20*+[\"']?+[A-Za-z0-9+/_.=-]++"),
     Rule("access", r"AKIA[A-Z0-9]{16,}", r"AKIA[A-Z0-9]{16,}+"),
     Rule("hex", r"[0-9a-f]{24,}", r"(?<![0-9a-f])[0-9a-f]{24,}+"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", r"gh[pousr]_[A-Za-z0-9]{36,}+"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-[A-Za-z0-9-]{10,}+"),

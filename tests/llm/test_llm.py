@@ -60,8 +60,13 @@ def test_exact(docs, empty):
             ids = by[r["text_sha256"]]
             assert r["group_size"] == len(ids) and r["keep_id"] == (ids[0] if ids == [None] else best(ids))
         assert sum(r["kept"] for r in got) == len(groups)
-        assert exact_dedup.unique_rows(docs, keep).count() == len(groups)
-    assert exact_dedup.exact_duplicates(empty).count() == 0
+        kept = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got if r["kept"])
+        for parts in (1, 3, 23):  # runs within and across partitions
+            docs.sparkSession.conf.set("spark.sql.shuffle.partitions", parts)
+            only = exact_dedup.unique_rows(docs, keep)
+            assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in only.collect()) == kept and only.columns == docs.columns
+        docs.sparkSession.conf.set("spark.sql.shuffle.partitions", 4)
+    assert exact_dedup.exact_duplicates(empty).count() == 0 and exact_dedup.unique_rows(empty).columns == empty.columns and exact_dedup.unique_rows(empty).count() == 0
 
 
 def shingle_set(t, k):
@@ -210,6 +215,13 @@ def test_secrets(docs, empty):
     assert secret_scan.report(secret_scan.secrets(empty)).count() == 0
 
 
+def test_long_key_headers(spark):
+    header = "-----BEGIN " + "VERY LONG " * 9 + "PRIVATE KEY-----"
+    df = spark.createDataFrame([(1, "x " + header + " y"), (2, "-----BEGIN " + "A" * 50_000), (3, "-----BEGIN PRIVATE KEY-----")], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in rows(secret_scan.secrets(df))}
+    assert got == {1: [(2, 2 + len(header))], 2: [], 3: [(0, 27)]}
+
+
 def test_trigram_queries():
     q = secret_scan.trigram_query
     assert q("[0-9a-f]{24,}") == [] and q("ab") == [] and q("abcd") == [[frozenset({"abc", "bcd"})]]
@@ -307,6 +319,38 @@ def test_quality(spark, empty):
     assert {r["score"] for r in rows(quality.score(odd.where("doc_id < 3"), blank))} == {0.5}
 
 
+def test_mix_against_brute_force(spark):
+    """Targets by water filling, and rows as often as the mix takes them, with null, shared and clashing identifiers."""
+    data = [(i if i % 9 else None, prose(R.randrange(60)), f"s{i % 5}" if i % 4 else None) for i in range(300)] + [(7, prose(40), "s1"), (7, None, "s2")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumns({"row": F.lit("r"), "size": F.lit("s"), "_id": F.lit(1)})
+    total = Counter()
+    for _, t, s in data:
+        total[s] += len((t or "").split())
+    order = sorted((s for s in total), key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, open_, left = {}, set(order), float(sum(total.values()))
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if share * weight[s] > 3 * total[s]]
+        if not full:
+            target |= {s: share * weight[s] for s in open_}
+            break
+        for s in full:
+            target[s] = 3.0 * total[s]
+            left -= target[s]
+            open_.remove(s)
+    for r in rows(mixing.mix(df)):
+        assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == total[r["source"]]
+    out = mixing.resampled(df)
+    assert out.columns == df.columns
+    times = Counter((r["doc_id"], r["text"], r["source"]) for r in out.collect())
+    assert set(times) <= set(data) and all(n <= 3 for n in times.values()) and any(k[0] is None for k in times)
+    words = Counter()
+    for (_, t, s), n in times.items():
+        words[s] += n * len(t.split())
+    assert all(abs(words[s] - target[s]) <= 0.2 * target[s] + 64 for s in order)
+
+
 def test_pipeline(spark):
     """The stages after the classifier against brute force on the smallest tables, and all of them end to end."""
     import corpus_pipeline
@@ -319,7 +363,27 @@ def test_pipeline(spark):
     for i, t in sorted(known(docs)):
         first.setdefault(re.sub("[A-Z]", lambda m: m[0].lower(), t), i)
     assert unique.columns == docs.columns and sorted(r["doc_id"] for r in unique.collect()) == sorted(first.values())
+    near = corpus_pipeline.drop_near_copies(spark, unique, d)
+    have = {i: shingle_set(t, 5) for i, t in known(unique)}
+    label = {i: i for i in have}
+    holders = {}
+    for i, s in have.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in holders.values() for a in ids for b in ids if a < b}
+    linked = [(a, b) for a, b in pairs if 100 * len(have[a] & have[b]) >= 80 * len(have[a] | have[b])]
+    for _ in linked:
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    assert near.columns == docs.columns and sorted(r["doc_id"] for r in near.collect()) == sorted(i for i in label if label[i] == i)
+    good = corpus_pipeline.keep_quality(spark, docs, d)
+    model = quality.fit(docs, spark.read.parquet(f"{d}/labels.parquet"), ~quality.held_out())
+    assert sorted(r["doc_id"] for r in good.collect()) == sorted(r["doc_id"] for r in quality.score(docs, model).where("score >= 0.7").collect())
+    from ampliref.llm import common
+
+    before = common.written()
     out = corpus_pipeline.run(spark, d)
+    assert common.written() == before + 1  # the last stage's input alone
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"]
     text = dict(known(docs))
     for r in out.collect():
