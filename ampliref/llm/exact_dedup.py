@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from ampliref.llm.common import lower_ascii, materialize
 
@@ -109,9 +110,61 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unique_rows(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """The rows of docs, all columns, that exact_duplicates() keeps: one of each group of equal texts."""
-    found = exact_duplicates(docs, keep).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_own", F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
-    # both columns are keys, so a large group of copies is spread by its identifiers
-    left = marked.join(found, (F.col("_own") == F.col("_sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return left.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    """The rows of docs, all columns, that exact_duplicates() keeps: one of each group of equal texts.
+
+    Whole rows go through the one range shuffle, and each task passes on the first row of each run, so a text crosses the
+    network once. Runs at the edges of partitions, two a partition at most, are decided by digest. Null text counts as
+    empty, a null identifier is the lowest; of rows that repeat identifier and text any one stays. Empty input: no rows.
+    """
+    if keep not in ("min", "max"):
+        raise ValueError("keep must be min or max")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text, doc_id = lower_ascii(F.coalesce(F.col("row.text"), F.lit(""))), F.col("row.doc_id").cast("long")
+    order = doc_id.asc_nulls_first() if keep == "min" else doc_id.desc_nulls_last()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    keyed = rows.withColumns({"head": F.substring(text, 1, HEAD), "mark": F.xxhash64(text)})
+    ranged = keyed.repartitionByRange(parts, "head", "mark", order).sortWithinPartitions("head", "mark", text, order).select("row", doc_id.alias("id"))
+    schema = StructType([StructField("row", rows.schema["row"].dataType), StructField("sha", StringType()), StructField("id", LongType()), StructField("edge", BooleanType()), StructField("part", IntegerType())])
+    firsts = materialize(ranged.mapInArrow(_first_of_runs, schema), "exact-firsts")
+    known = F.col("id").isNotNull()
+    best = F.min_by("part", F.struct(known, "id", "part")) if keep == "min" else F.max_by("part", F.struct(known, "id", -F.col("part")))
+    won = firsts.where("edge").groupBy("sha").agg(best.alias("won")).withColumnRenamed("sha", "_sha")
+    joined = firsts.join(F.broadcast(won), F.col("sha") == F.col("_sha"), "left")
+    return joined.where(~F.col("edge") | (F.col("part") == F.col("won"))).select("row.*")
+
+
+def _first_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes on the first row of each run of equal texts. A run at a partition's beginning or end is an edge."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    before: bytes | None = None
+    held: pa.RecordBatch | None = None  # the last run's row, until it is known whether another run follows
+    started = False  # whether the first run has been passed on
+
+    def made(rows: pa.Array, shas: list[str], ids: pa.Array, edges: list[bool]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([rows, pa.array(shas, pa.string()), ids, pa.array(edges, pa.bool_()), pa.array([part] * len(shas), pa.int32())], names=["row", "sha", "id", "edge", "part"])
+
+    for batch in batches:
+        rows, ids = batch.column(0), batch.column(1)
+        texts, firsts, digests = rows.field("text"), [], []
+        missing = rows.is_null().to_pylist() if rows.null_count else None
+        for i, text in enumerate(texts):
+            own = b"" if (missing and missing[i]) or not text.is_valid else text.as_py().encode("utf-8", "surrogatepass").lower()
+            if own != before:
+                firsts.append(i)
+                digests.append(hashlib.sha256(own).hexdigest())
+                before = own
+        if not firsts:
+            continue
+        if held is not None:
+            yield held.set_column(3, "edge", pa.array([not started], pa.bool_()))
+            started = True
+        take = pa.array(firsts[:-1], pa.int64())
+        if len(take):
+            yield made(rows.take(take), digests[:-1], ids.take(take), [not started] + [False] * (len(take) - 1))
+            started = True
+        last = pa.array(firsts[-1:], pa.int64())
+        held = made(rows.take(last), digests[-1:], ids.take(last), [True])
+    if held is not None:
+        yield held
