@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ampliref.llm import exact_dedup, minhash, mixing, pieces, quality
-from ampliref.llm.common import materialize, table
+from ampliref.llm.common import drop_since, materialize, table, written
 from ampliref.llm.queries import tokenizer
 
 
@@ -45,12 +45,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encoding", encode),
 ]
 
-#: SQL can't express the classifier or the encoder; tests/llm compares run() with a brute-force version.
+#: SQL can't express the classifier or the encoder; tests/llm compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage wrote on its way, and its input, is deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
+    begin = written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        drop_since(spark, begin, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
