@@ -206,6 +206,81 @@ def test_pii_terms_of_whole_texts(spark):
     assert got[4] == ["Zanzibar"] and got[7] == got[8] == ["Rocinante"] and got[6] == [] and not any(got[10 + i] for i in range(300))
 
 
+def brute_terms(texts):
+    """The disclosing terms of each text, as {term: removed or not}, from counts made one by one."""
+    import math
+
+    import regex
+
+    distinct = set(texts)
+    n = len(distinct)
+    terms = {t: {w.lower() for w in regex.findall(pii.TERM, t)} for t in distinct}
+    vocabulary = Counter(w for t in distinct for w in terms[t])
+
+    def held(t):
+        out = {}
+        for k, p in enumerate(BASES):
+            for m in (m[0] for m in re.finditer(p, t) if allowed(k, m[0])):
+                m = m.lower() if k == 0 else ".".join(str(int(x)) for x in m.split(".")) if k == 1 else re.sub("[^0-9]", "", m)
+                parts = [f"0l:{m.split('@')[0]}", f"0d:{m.split('@')[-1]}"] if k == 0 else [f"1n:{m.rsplit('.', 1)[0]}"] if k == 1 else [f"{k}n:{m[:-4]}"]
+                out[f"{k}:{m}"] = [f"{k}:{m}", *parts]
+        return out
+
+    entities = {t: held(t) for t in distinct}
+    keys = Counter(k for t in distinct for k in {k for ks in entities[t].values() for k in ks})
+
+    def chance(c, a, b):
+        few, share = min(a, b), max(a, b) / n
+        x = c / few
+        return -few * (x * math.log(x / share) + ((1 - x) * math.log((1 - x) / (1 - share)) if x < 1 else 0)) if x > share else 0.0
+
+    shares = {}
+    for e, ks in {e: ks for t in distinct for e, ks in entities[t].items()}.items():
+        information = math.log2(n / keys[e])
+        if information <= 0:
+            continue
+        for k in ks:
+            holders = [t for t in distinct if any(k in x for x in entities[t].values())]
+            for w, c in Counter(w for t in holders for w in terms[t]).items():
+                if w in k or chance(c, vocabulary[w], keys[k]) <= math.log(pii.CHANCE / len(vocabulary)):
+                    share = round(math.log2(n * c / (vocabulary[w] * keys[k])) / information, 9)
+                    shares[w, e] = max(share, shares.get((w, e), -1.0))
+    out = {}
+    for t in distinct:
+        best = {}
+        for (w, e), share in shares.items():
+            if share >= pii.GENERALISE and e in entities[t] and w in terms[t]:
+                best[w] = max(share, best.get(w, 0))
+        out[t] = {w: share >= pii.REMOVE for w, share in best.items()}
+    return out
+
+
+def test_pii_terms_against_brute_force(spark):
+    rnd = random.Random(3)
+    name = lambda: "".join(rnd.choice("bcdfgaeiou") for _ in range(6))
+    people = [(name(), f"{name()}@{name()}.org", f"10.{rnd.randrange(9)}.3.{rnd.randrange(4)}", f"+4930555{rnd.randrange(1000, 1010)}") for _ in range(8)]
+    texts = [None, "", "one two"]
+    for i in range(160):
+        who = rnd.choice(people)
+        words = [rnd.choice(WORDS) + rnd.choice(["", "x", "yy", "zzz"]) for _ in range(rnd.randrange(3, 25))]
+        named = [rnd.choice([who[0], who[0].upper()])] * (rnd.random() < 0.9) + rnd.sample(who[1:], rnd.randrange(1, 3))
+        for extra in named if i % 3 else []:
+            words.insert(rnd.randrange(len(words)), extra)
+        texts.append(" ".join(words))
+    texts += texts[20:40]
+    want = brute_terms([t or "" for t in texts])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({"term": F.lit("clash"), "_key": F.lit(1), "share": F.lit(0.5)})
+    shown = 0
+    for r in rows(pii.personal_data(df)):
+        text = texts[r["doc_id"]] or ""
+        got = {text[s["start"] : s["end"]].lower(): gone for s, gone in zip(r["terms"], r["removed"])}
+        base = [range(s["start"], s["end"]) for s in r["base"]]
+        free = {w for w in want[text] for m in re.finditer(rf"(?<![^\W\d_]){w}(?![^\W\d_])", text.lower()) if not any(m.start() < b.stop and b.start < m.end() for b in base)}
+        assert got == {w: want[text][w] for w in free}
+        shown += len(got)
+    assert shown > 20
+
+
 def test_secrets(docs, empty):
     assign = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
     for r in rows(secret_scan.secrets(docs)):
