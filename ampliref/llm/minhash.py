@@ -31,7 +31,7 @@ BLOCK_ROWS, MARGIN = 1024, 0.13
 PARITY_BITS = 4096
 _BLOCK = 4096  # shingles hashed at once
 #: Rows that a task may take before more tasks and files are worth their cost: of a few numbers, with a text's bands, and
-#: pairs whose full sets are compared. A table with few rows thus makes few files, one with many as many as the shuffle has.
+#: rows of blocks, of which many likely pairs may come. A table with few rows thus makes few files, one with many as many as the shuffle has.
 NARROW_ROWS, WIDE_ROWS, PAIR_ROWS = 50_000, 5_000, 2_000
 
 
@@ -196,7 +196,8 @@ def _links(reps: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFr
     left = narrow(labelled.join(state.select("bucket", "members"), "bucket"), "minhash-left")
     if left.isEmpty():
         return links
-    more = materialize(_sized(_likely(left, sets, percent).join(pairs, ["a", "b"], "left_anti"), left.count(), PAIR_ROWS), "minhash-more")
+    n_left = max(left.count() * NARROW_ROWS // PAIR_ROWS, pairs.count())
+    more = materialize(_sized(_likely(left, sets, percent).join(pairs, ["a", "b"], "left_anti"), n_left, NARROW_ROWS), "minhash-more")
     return narrow(links.unionByName(_verified(more, sets, percent)).distinct(), "minhash-links")
 
 
@@ -316,11 +317,14 @@ def _sets(met: DataFrame, rows: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left, right = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
+    """Those of the pairs (a, b) that are linked. Only the sets that they name are shuffled, and by as many tasks as any shuffle has."""
+    named = lambda c: sets.join(pairs.select(F.col(c).alias("rep")).distinct(), "rep", "left_semi")
+    left, right = named("a").select(F.col("rep").alias("a"), F.col("set").alias("sa")), named("b").select(F.col("rep").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     union: Column = F.size("sa") + F.size("sb") - both
     found = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b").distinct()
-    return _sized(found, pairs.count(), PAIR_ROWS)
+    # a shuffle of two numbers a link; coalesce() would have few tasks read all sets
+    return found.repartition(max(1, -(-pairs.count() // NARROW_ROWS)))
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
