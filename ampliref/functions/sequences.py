@@ -55,14 +55,15 @@ def check_codons(sequence: Column, gene: Column, coding: Sequence[str] = ("COI",
 
     has_stop: even that frame has one. frameshifted: more than two, or with strict_length a length that isn't a multiple of three.
     """
-    clean = F.regexp_replace(F.upper(sequence), "[^ACGT]", "N")
-    size = F.length(clean)
+    upper = F.upper(sequence)
+    size = F.length(upper)
 
     stop = "|".join(STOPS[code])
 
     def count(frame: int) -> Column:
-        # each match runs over codons to the next stop codon, so there are as many matches as stops, in one pass
-        return F.regexp_count(F.substring(clean, frame + 1, 2_000_000_000), F.lit(rf"\G(?:(?!{stop})[ACGTN]{{3}})*+(?:{stop})"))
+        # each match runs over codons to the next stop codon, so there are as many matches as stops, in one pass; any
+        # other character is as good as N, since no stop codon has one
+        return F.regexp_count(F.substring(upper, frame + 1, 2_000_000_000), F.lit(rf"(?s)\G(?:(?!{stop}).{{3}})*+(?:{stop})"))
 
     # one array, so the counts are made once
     counts = F.array(*[count(f) for f in range(3)])

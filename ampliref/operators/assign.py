@@ -86,8 +86,11 @@ def assign(asvs: DataFrame, final: DataFrame, marker: Values = None, method: str
     repeated = asvs.groupBy("asv_id").count().where("count > 1")
     if not repeated.isEmpty():
         raise ValueError("asv_id must be unique")
-    refs = get_sequences(final, marker=marker).withColumn("sequence", clean_sequence(F.col("sequence")))
-    hits = exact_hits(asvs, refs) if method == "exact" else similarity_hits(asvs, refs, min_identity, min_coverage, max_targets)
+    refs = get_sequences(final, marker=marker)
+    if method == "exact":
+        hits = exact_hits(asvs, refs)  # which cleans both sides
+    else:
+        hits = similarity_hits(asvs, refs.withColumn("sequence", clean_sequence(F.col("sequence"))), min_identity, min_coverage, max_targets)
     out = with_missing(asvs, score_assignments(hits, min_identity, min_coverage))
     return out.orderBy("ord").drop("ord") if "ord" in asvs.columns else out
 

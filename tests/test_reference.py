@@ -1,6 +1,7 @@
 """The operators on small hand-made tables."""
 
 import hashlib
+import random
 import sqlite3
 
 import pytest
@@ -49,12 +50,22 @@ def test_custom_markers(spark):
     assert one(spark, markers.extract_markers(F.lit("Some plant ITS region, partial sequence"), [("ITS", "its")])) == "ITS_partial"
 
 
-@pytest.mark.parametrize(("seq", "gene", "want"), [("ATGGCTTAA", "COI", (False, False, 2)), ("ATGGCTGCT", "COI", (False, False, 1)), ("TAATAATAAT", "COI", (False, True, 2)), ("ATG", "16S", None), ("AT", "COI", None)])
+@pytest.mark.parametrize(("seq", "gene", "want"), [("ATGGCTTAA", "COI", (False, False, 2)), ("ATGGCTGCT", "COI", (False, False, 1)), ("TAATAATAAT", "COI", (False, True, 2)), ("A\n😀TAAGCT", "COI", (False, False, 2)), ("ATG", "16S", None), ("AT", "COI", None)])
 def test_codons(spark, seq, gene, want):
     got = one(spark, sequences.check_codons(F.lit(seq), F.lit(gene)))
     assert (tuple(got) if got else None) == want
 
 
+def test_codons_against_brute_force(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice("AAGGTTCacgtn-\n😀") for _ in range(r.randrange(3, 60))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    for i, got in df.select("i", sequences.check_codons(F.col("s"), F.lit("COI"))).collect():
+        seq = texts[i].upper()
+        counts = [sum(seq[k : k + 3] in sequences.STOPS["vertebrate_mitochondrial"] for k in range(f, len(seq) - 2, 3)) for f in range(3)]
+        assert tuple(got) == (min(counts) > 0, len(seq) % 3 != 0 or min(counts) > 2, counts.index(min(counts)) + 1)
+
+
 def test_rrna(spark):
     assert tuple(one(spark, sequences.check_rrna(F.lit("ACGN"), F.lit("12S")))) == (True, True)
     assert one(spark, sequences.check_rrna(F.lit("ACG"), F.lit("COI"))) is None
