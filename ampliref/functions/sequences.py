@@ -65,11 +65,13 @@ def check_codons(sequence: Column, gene: Column, coding: Sequence[str] = ("COI",
         # other character is as good as N, since no stop codon has one
         return F.regexp_count(F.substring(upper, frame + 1, 2_000_000_000), F.lit(rf"(?s)\G(?:(?!{stop}).{{3}})*+(?:{stop})"))
 
-    # one array, so the counts are made once
-    counts = F.array(*[count(f) for f in range(3)])
-    made = F.transform(F.array(counts), lambda c: F.struct(F.array_min(c).alias("least"), F.array_position(c, F.array_min(c)).cast("int").alias("best_frame")))[0]
-    shifted = made["least"] > 2
-    result = F.struct((made["least"] > 0).alias("has_stop"), ((size % 3 != 0) | shifted if strict_length else shifted).alias("frameshifted"), made["best_frame"].alias("best_frame"))
+    def verdict(counts: Column) -> Column:
+        least = F.array_min(counts)
+        shifted = least > 2
+        return F.struct((least > 0).alias("has_stop"), ((size % 3 != 0) | shifted if strict_length else shifted).alias("frameshifted"), F.array_position(counts, least).cast("int").alias("best_frame"))
+
+    # a lambda over the one array of counts: its body reads them as often as it likes, and they are made once
+    result = F.transform(F.array(F.array(*[count(f) for f in range(3)])), verdict)[0]
     return F.when(gene.isin(*coding) & (size >= 3), result)
 
 
