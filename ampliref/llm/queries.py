@@ -66,6 +66,13 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(table(spark, sf_dir, "documents"))
 
 
+def spotsigs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal fingerprints and links between classes, by length classes and pruned Jaccard."""
+    from ampliref.llm.spotsigs import links
+
+    return links(table(spark, sf_dir, "documents"), at_least=0.8)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ampliref.llm.exact_dedup import exact_duplicates
 
@@ -78,7 +85,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wrappers, op2_pii, op3_quality, op4_minhash_neardup, op5_token_counts, op6_secrets, op7_mixing, op8_spotsigs, op9_exact_dedup, op10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wrappers, op2_pii, op3_quality, op4_minhash_neardup, op5_token_counts, op6_secrets, op7_mixing, op8_spotsigs, op9_exact_dedup, op10_pieces, spotsigs_links)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

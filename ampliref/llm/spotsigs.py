@@ -32,6 +32,8 @@ CHAIN = 2
 LINE = "\n"
 _END = np.uint64(0x7F4A7C15)
 WORD_CACHE = 300_000
+#: Sets that meet at one signature of a length class in one task, from either side; more are dealt out in blocks.
+MEET_ROWS = 4096
 _STRIP = " \t\r\n.,;:!?()[]{}\"'|*&%$#<>-–—…"
 
 
@@ -112,7 +114,8 @@ def similar_pairs(prints: DataFrame, at_least: float = 0.8) -> DataFrame:
     """(a, b, likeness) of distinct fingerprints, each as its smallest doc_id, with likeness >= at_least; plus (a, a, 1)
     for none. Fingerprints are partitioned by set length: lengths fall into classes of ratio at_least, and a set is
     compared with those of its own and the next class. Within them only sets that share one of their first
-    n - ceil(at_least * n) + 1 signatures, rarest first, meet. Membership of copies: join on the fingerprint.
+    n - ceil(at_least * n) + 1 signatures, rarest first, meet; where many do, in blocks of MEET_ROWS by MEET_ROWS, a task
+    each. Membership of copies: links(). Null identifiers are left out, repeated rows count once, no rows give no pairs.
     """
     if not 0 < at_least <= 1:
         raise ValueError("at_least must be above 0 and at most 1")
@@ -127,14 +130,31 @@ def similar_pairs(prints: DataFrame, at_least: float = 0.8) -> DataFrame:
     first = materialize(ordered.select("id", "n", size_class.alias("class"), F.explode(F.slice("by_df", F.lit(1), keep)).alias("s")).select("id", "n", "class", F.col("s.sig").alias("sig"), F.col("s.df").alias("df")).where("df > 1").drop("df"), "spotsigs-prefixes")
     x = first.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
     y = first.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), "class")
+    # x has all of y's sets and those of the class below; only what many share is dealt out
+    many = x.groupBy("sig", "class").agg(F.ceil(F.count(F.lit(1)) / MEET_ROWS).cast("int").alias("parts")).where("parts > 1")
+    deal = lambda side, who, own, other: side.join(many, ["sig", "class"], "left").withColumns({own: F.pmod(F.xxhash64(who), F.coalesce("parts", F.lit(1))).cast("int"), other: F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))}).drop("parts")
+    x, y = deal(x, "a", "i", "j"), deal(y, "b", "j", "i")
     longer = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
-    met = x.join(y, ["sig", "class"]).where(longer & (F.col("na") >= at_least * F.col("nb") - 1e-9)).select("a", "b").distinct()
+    met = x.join(y, ["sig", "class", "i", "j"]).where(longer & (F.col("na") >= at_least * F.col("nb") - 1e-9)).select("a", "b").distinct()
     full = met.join(sets.select(F.col("id").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sigs").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     like = both / (F.size("sa") + F.size("sb") - both)
     return full.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), like.alias("likeness")).where(F.col("likeness") >= at_least - 1e-12)
 
 
+def links(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """Per row of docs: doc_id, n_signatures, class_id, n_links. class_id is the smallest doc_id whose fingerprint is the
+    same, and n_links says how many other classes have a likeness of at_least or more with it. A row without signatures
+    or without an identifier is a class of its own with no links; no rows give no rows."""
+    prints = materialize(fingerprints(docs).withColumn("key", F.sha2("fingerprint", 256)), "spotsigs-prints")
+    pairs = materialize(similar_pairs(prints.drop("key"), at_least), "spotsigs-pairs")
+    each = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = prints.where("fingerprint != '' and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("class_id")).join(each, "class_id", "left")
+    # a class may have a third of all rows; its own table has one, so the side of the rows can be split by the runtime
+    found = prints.select("doc_id", "n_signatures", F.when(F.col("doc_id").isNotNull() & (F.col("fingerprint") != ""), F.col("key")).alias("key")).join(classes, "key", "left")
+    return found.select("doc_id", "n_signatures", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 #: Documents that one bucket of the order by doc_id holds, about, and buckets for each shuffle partition of the session, which
 #: says how many tasks its data needs.
 BUCKET_DOCS, PARTITION_BUCKETS = 1000, 16

@@ -370,13 +370,34 @@ def test_spots(spark, docs, empty, monkeypatch):
     assert spotsigs.edit_report(clash).count() == docs.count() and spotsigs.edit_report(empty).count() == 0
 
 
-def test_spot_pairs(docs):
-    found = {(r["a"], r["b"]) for r in rows(spotsigs.similar_pairs(spotsigs.fingerprints(docs), 0.8))}
-    own = {}
-    for i, t in sorted((i, t) for i, t in known(docs) if i is not None):
-        own.setdefault(spotsigs.fingerprint(spotsigs.signatures(t)), (i, spotsigs.signatures(t)))
-    sets = [v for f, v in own.items() if f]
-    assert found == {(min(a, b), max(a, b)) for a, x in sets for b, y in sets if a < b and spotsigs.likeness(x, y) >= 0.8}
+@pytest.mark.parametrize("block", [2, 4096])
+def test_spot_links(spark, docs, empty, monkeypatch, block):
+    """Pairs, classes and links against multisets compared one by one, with signatures that many texts share dealt out or not."""
+    monkeypatch.setattr(spotsigs, "MEET_ROWS", block)
+    base = prose(400).split()
+    near = [(200 + k, " ".join("other%d" % (j + k) if j % 97 == k % 5 else w for j, w in enumerate(base[: 400 - k]))) for k in range(14)]
+    df = docs.dropDuplicates(["doc_id"]).unionByName(spark.createDataFrame(near + [(300, "the of"), (301, near[3][1])], "doc_id long, text string"), allowMissingColumns=True)
+    bags = {i: spots(t) for i, t in known(df) if i is not None}
+    first = {}
+    for i in sorted(bags):
+        first.setdefault(frozenset(bags[i].items()), i)
+    reps = sorted(i for bag, i in first.items() if bag)
+    wanted = {(a, b): alike(bags[a], bags[b]) for a in reps for b in reps if a < b and alike(bags[a], bags[b]) >= 0.8}
+    found = {(r["a"], r["b"]): r["likeness"] for r in rows(spotsigs.similar_pairs(spotsigs.fingerprints(df), 0.8))}
+    assert len(wanted) > 10 and found.keys() == wanted.keys() and all(found[p] == pytest.approx(wanted[p]) for p in wanted)
+    count = Counter(i for p in wanted for i in p)
+    got = rows(spotsigs.links(df, 0.8))
+    assert len(got) == df.count()
+    for r in got:
+        if r["doc_id"] is not None:
+            bag = bags[r["doc_id"]]
+            one = first[frozenset(bag.items())] if bag else r["doc_id"]
+            assert (r["n_signatures"], r["class_id"], r["n_links"]) == (sum(bag.values()), one, count[one] if bag else 0)
+        else:
+            assert (r["class_id"], r["n_links"]) == (None, 0)
+    assert spotsigs.links(empty).count() == 0
+    with pytest.raises(ValueError):
+        spotsigs.similar_pairs(spotsigs.fingerprints(df), 0)
 
 
 def test_quality(spark, empty):
