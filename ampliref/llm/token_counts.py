@@ -64,6 +64,15 @@ class Lengths(dict):
 _WORKER: dict[str, Lengths] = {}
 
 
+def check_model(model: str) -> None:
+    """Refuses a file that doesn't cut texts as PRE_TOKEN does, or whose counts aren't a sum over pre-tokens."""
+    spec = json.loads(model)
+    cut = spec.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    if not plain or spec.get("normalizer") or spec["model"].get("type") != "BPE" or spec["model"].get("dropout"):
+        raise ValueError("only byte-level BPE files with the byte-level pre-tokenizer, without prefix space, normaliser and dropout are supported")
+
+
 def frequent_lengths(model: str) -> dict[str, int]:
     """Tier one. Vocabulary strings are read back through the tokenizer, so each has the count that it gives."""
     from tokenizers import Tokenizer
@@ -82,10 +91,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
     Counts are those of the tokenizers library without special tokens added; special strings inside a text count as
     that library counts them by default. Null text counts as empty (0 tokens). Repeated rows give repeated results;
-    other columns are ignored. tokenizer_path: a byte-level BPE file, read on the driver and broadcast.
+    other columns are ignored. tokenizer_path: a byte-level BPE file, read on the driver and broadcast; another kind
+    raises ValueError.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         model = f.read()
+    check_model(model)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model, frequent_lengths(model)))
     key = tokenizer_path

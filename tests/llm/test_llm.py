@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -128,6 +129,17 @@ def test_tokens(docs, empty):
     assert token_counts.count_tokens(empty, str(path)).count() == 0
 
 
+def test_tokens_of_another_kind(docs, tmp_path):
+    """A file that cuts texts in another way is refused, not counted wrongly."""
+    import json
+
+    spec = json.loads(Path(tokenizers.path("byte_bpe_50k.json")).read_text())
+    for change in ({"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": None}):
+        (tmp_path / "other.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="byte-level"):
+            token_counts.count_tokens(docs, str(tmp_path / "other.json"))
+
+
 def test_pieces(docs, empty):
     import sentencepiece
 
