@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -97,6 +99,24 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+#: The cache that fills this Python worker; none or one.
+_HELD: list[dict] = []
+
+
+def alone(cache: dict) -> dict:
+    """Called in a worker before a module's cache is used. Workers are used again by later stages, so what another module
+    left there is emptied and its memory given back: a worker never holds two operators' caches."""
+    if not any(c is cache for c in _HELD):
+        for other in _HELD:
+            other.clear()
+        _HELD[:] = [cache]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+    return cache
+
+
 def lower_ascii(text):
     """A-Z only, unlike lower()."""
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampliref.llm.common import chunks, materialize
+from ampliref.llm.common import alone, chunks, materialize
 
 #: Coordinates by bands: at Jaccard 0.85 a pair meets in no band with probability (1 - 0.85**6)**40 = 6e-9, at 0.8 in 5e-6.
 ROWS, BANDS = 6, 40
@@ -63,7 +63,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(alone(_WORDS).__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     with np.errstate(over="ignore"):
         out = np.full(n, len(h) if len(h) < width else width, np.uint64)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampliref.llm.common import chunks
+from ampliref.llm.common import alone, chunks
 
 MARK = "▁"  # fixed value: the model's sign for a space
 CACHE_ENTRIES = 200_000
@@ -238,7 +238,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
 
 def _codec(key: str, model: bytes) -> Codec:
-    if key not in _WORKER:
+    if key not in alone(_WORKER):
         _WORKER.clear()
         _WORKER[key] = Codec(model)
     return _WORKER[key]

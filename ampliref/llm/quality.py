@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampliref.llm.common import chunks
+from ampliref.llm.common import alone, chunks
 
 BUCKETS, DIM = 1 << 16, 16
 #: Character n-grams of a word between boundary signs.
 GRAMS = (2, 3, 4)
 #: Characters whose features are held at once; longer words are read in parts that overlap, so no n-gram is lost or doubled.
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 18
 #: The bound of the training sample, in documents.
 MAX_TRAIN = 4000
 CACHE_WORDS = 1_000_000
@@ -189,6 +189,14 @@ class Scores(dict):
 _WORKER: dict[str, Scores] = {}
 
 
+def _scores(key: str, weights: np.ndarray, bias: float) -> Scores:
+    """The worker's own, as a function of the module: a kernel's globals are copied for each task."""
+    if key not in alone(_WORKER):
+        _WORKER.clear()
+        _WORKER[key] = Scores(weights, bias)
+    return _WORKER[key]
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score (0 to 1, higher: label 1 is likelier).
 
@@ -200,11 +208,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     key = f"{hash(weights.tobytes())}:{model.bias}"
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = Scores(*shared.value)
+        scores = _scores(key, *shared.value)
         for batch in chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_WORKER[key].score(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores.score(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(kernel, "doc_id long, score double")
@@ -222,10 +228,8 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: st
     at = docs.columns.index(text_col)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = Scores(*shared.value)
+        scores = _scores(key, *shared.value)
         for batch in chunks(batches):
-            yield batch.filter(pa.array(_WORKER[key].score(batch.column(at).to_pylist()) >= threshold))
+            yield batch.filter(pa.array(scores.score(batch.column(at).to_pylist()) >= threshold))
 
     return docs.mapInArrow(kernel, docs.schema)

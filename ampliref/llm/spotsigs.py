@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampliref.llm.common import chunks, materialize
+from ampliref.llm.common import alone, chunks, materialize
 from ampliref.llm.minhash import _mix
 
 # Articles and forms of "to be" and "to have", by language.
@@ -62,7 +62,7 @@ def signatures(text: str | None) -> np.ndarray:
         if found := line.split():
             words.append(LINE)
             words += found
-    flat = np.array(list(map(_WORDS.__getitem__, words)), np.int64).reshape(-1, 2)
+    flat = np.array(list(map(alone(_WORDS).__getitem__, words)), np.int64).reshape(-1, 2)
     flat = flat[flat[:, 1] >= 0]
     h, anchor = flat[:, 0].astype(np.uint64), flat[:, 1] == 1
     follow = np.r_[h[~anchor], np.full(CHAIN, _END)]

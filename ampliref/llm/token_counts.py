@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampliref.llm.common import chunks
+from ampliref.llm.common import alone, chunks
 
 #: Pre-tokens kept by a worker; beyond it the cache starts anew.
 CACHE_ENTRIES = 300_000
@@ -64,6 +64,14 @@ class Lengths(dict):
 _WORKER: dict[str, Lengths] = {}
 
 
+def _lengths(key: str, model: str, frequent: dict[str, int]) -> Lengths:
+    """The worker's own, as a function of the module: a kernel's globals are copied for each task."""
+    if key not in alone(_WORKER):
+        _WORKER.clear()
+        _WORKER[key] = Lengths(model, frequent)
+    return _WORKER[key]
+
+
 def check_model(model: str) -> None:
     """Refuses a file that doesn't cut texts as PRE_TOKEN does, or whose counts aren't a sum over pre-tokens."""
     spec = json.loads(model)
@@ -102,10 +110,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     key = tokenizer_path
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = Lengths(*shared.value)
-        lengths = _WORKER[key]
+        lengths = _lengths(key, *shared.value)
         for batch in chunks(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = lengths.count(texts)
