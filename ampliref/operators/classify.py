@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliref.functions.sequences import sequence_features
+from ampliref.functions.sequences import feature_struct
 from ampliref.operators.numbering import numbered
 from ampliref.schemas import require_columns
 
@@ -21,7 +21,8 @@ FEATURES = ("length", "gc_content", "at_content", "gc_skew", "at_skew")
 
 
 def add_features(df: DataFrame, sequence_col: str = "sequence") -> DataFrame:
-    return df.withColumns({k: v.cast("double") for k, v in sequence_features(F.col(sequence_col)).items()})
+    made = df.withColumn("_features", feature_struct(F.col(sequence_col)))  # read five times, so it stays a projection of its own
+    return made.withColumns({k: F.col(f"_features.{k}").cast("double") for k in FEATURES}).drop("_features")
 
 
 @dataclass

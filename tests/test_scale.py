@@ -148,3 +148,14 @@ def test_manifest(spark, tmp_path):
         release.install_release(manifest, str(tmp_path / "c" / "db"))
     top = release.demo_subset(spark.createDataFrame([(f"u{i}",) for i in range(9)], "unique_code string"), 3)
     assert [r["unique_code"] for r in top.collect()] == ["u0", "u1", "u2"]
+
+
+def test_classified_features_are_counted_once(spark):
+    rows = [("COI", "AT" * (60 + i % 9)) for i in range(60)] + [("12S", "GC" * (60 + i % 9)) for i in range(60)]
+    df = spark.createDataFrame(rows, "seq_type string, sequence string")
+    fitted = classify.train_classifier(classify.add_features(df), trees=2)
+    out = classify.classify_sequences(fitted, df.select("sequence"), 0.5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and plan.count("replace(") == 4
+    got = {k: v for k, v in classify.add_features(spark.createDataFrame([(None,), ("ACGGNT",)], "sequence string")).collect()[1].asDict().items()}
+    assert (got["length"], got["gc_content"], got["gc_skew"]) == (6, 3 / 5, 1 / 3)
