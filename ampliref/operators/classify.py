@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ampliref.functions.sequences import feature_struct
 from ampliref.operators.numbering import numbered
 from ampliref.schemas import require_columns
+from ampliref.session import shared_path
 
 FEATURES = ("length", "gc_content", "at_content", "gc_skew", "at_skew")
 
@@ -27,11 +28,16 @@ def add_features(df: DataFrame, sequence_col: str = "sequence") -> DataFrame:
 
 @dataclass
 class Classifier:
-    """importance: permutation importance where asked for, else impurity. metrics: accuracy, kappa and others on the test part; confusion: rows (label, one column per predicted label)."""
+    """importance: permutation importance where asked for, else impurity. metrics: accuracy, kappa and others on the test part; confusion: rows (label, one column per predicted label).
+
+    test: the test part's rows with all their columns, predicted when they are asked for; measured: its label and features,
+    from the table that was learned from.
+    """
 
     model: PipelineModel
     metrics: dict[str, float]
     test: DataFrame
+    measured: DataFrame
     confusion: DataFrame
     importance: dict[str, float]
     label_col: str
@@ -57,10 +63,18 @@ def split(df: DataFrame, label_col: str, prop: float, seed: int, id_cols: Sequen
 
 
 def train_classifier(df: DataFrame, label_col: str = "seq_type", features: Sequence[str] = FEATURES, trees: int = 500, mtry: int = 3, min_n: int = 5, prop: float = 0.8, seed: int = 123, permute: bool = False) -> Classifier:
-    """Normalised features without constant ones, a random forest, and its measures on the part that wasn't learned from."""
+    """Normalised features without constant ones, a random forest, and its measures on the part that wasn't learned from.
+
+    Labels and features are made once, into a table in the shared folder that all passes of the training read; sequences
+    and other columns stay out of it.
+    """
     require_columns(df, [label_col, *features])
-    rows = split(df.where(F.col(label_col).isNotNull()).na.drop(subset=list(features)), label_col, prop, seed, features).persist()
-    learn, test = rows.where("_train"), rows.where("not _train")
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "features")
+    narrow = df.select(label_col, *features)
+    narrow.write.parquet(path)
+    whole = lambda rows: rows.where(F.col(label_col).isNotNull()).na.drop(subset=list(features))
+    rows = split(whole(spark.read.schema(narrow.schema).parquet(path)), label_col, prop, seed, features).persist()
+    learn, measured = rows.where("_train"), rows.where("not _train")
     steps = [
         StringIndexer(inputCol=label_col, outputCol="_label", handleInvalid="keep", stringOrderType="frequencyDesc"),
         VectorAssembler(inputCols=list(features), outputCol="_raw"),
@@ -70,18 +84,21 @@ def train_classifier(df: DataFrame, label_col: str = "seq_type", features: Seque
     ]
     model = Pipeline(stages=steps).fit(learn)
     labels = tuple(model.stages[0].labels)
-    predicted = IndexToString(inputCol="_prediction", outputCol="predicted", labels=[*labels, "unknown"]).transform(model.transform(test))
-    evaluate = MulticlassClassificationEvaluator(labelCol="_label", predictionCol="_prediction")
-    counts = predicted.groupBy(label_col, "predicted").agg(F.count(F.lit(1)).alias("n")).collect()  # labels squared
+    named = IndexToString(inputCol="_prediction", outputCol="predicted", labels=[*labels, "unknown"])
+    counts = named.transform(model.transform(measured)).groupBy(label_col, "predicted", "_label", "_prediction").agg(F.count(F.lit(1)).alias("n"))
+    kinds, counts = counts.schema, counts.collect()  # labels squared; every measure is of them
+    counted = spark.createDataFrame(counts, kinds)
+    evaluate = MulticlassClassificationEvaluator(labelCol="_label", predictionCol="_prediction", weightCol="n")
     total = sum(r["n"] for r in counts) or 1
     share = lambda k, v: sum(r["n"] for r in counts if r[k] == v) / total
     agree, chance = sum(r["n"] for r in counts if r[label_col] == r["predicted"]) / total, sum(share(label_col, x) * share("predicted", x) for x in labels)
     metrics = {"accuracy": agree, "kappa": (agree - chance) / (1 - chance) if chance < 1 else 1.0}
     if counts:
-        metrics |= {m: evaluate.setMetricName(m).evaluate(predicted) for m in ("f1", "weightedPrecision", "weightedRecall")}
-    confusion = predicted.groupBy(label_col).pivot("predicted", list(labels)).count().na.fill(0)
+        metrics |= {m: evaluate.setMetricName(m).evaluate(counted) for m in ("f1", "weightedPrecision", "weightedRecall")}
+    confusion = counted.groupBy(label_col).pivot("predicted", list(labels)).agg(F.sum("n")).na.fill(0)
     kept = [features[i] for i in model.stages[2].selectedFeatures]
-    fitted = Classifier(model, metrics, predicted, confusion, dict(zip(kept, map(float, model.stages[-1].featureImportances.toArray()))), label_col, tuple(features), labels)
+    test = named.transform(model.transform(split(whole(df), label_col, prop, seed, features).where("not _train")))
+    fitted = Classifier(model, metrics, test, measured.select(label_col, *features), confusion, dict(zip(kept, map(float, model.stages[-1].featureImportances.toArray()))), label_col, tuple(features), labels)
     if permute:
         fitted.importance = permutation_importance(fitted, seed)
     return fitted
@@ -89,7 +106,7 @@ def train_classifier(df: DataFrame, label_col: str = "seq_type", features: Seque
 
 def permutation_importance(fitted: Classifier, seed: int = 1) -> dict[str, float]:
     """How much accuracy the test part loses when one feature's values are exchanged between rows, by a seeded order."""
-    base = numbered(fitted.test.select(*fitted.features, fitted.label_col), [F.xxhash64(*fitted.features, F.lit(seed))], "_n")
+    base = numbered(fitted.measured.select(*fitted.features, fitted.label_col), [F.xxhash64(*fitted.features, F.lit(seed))], "_n")
     n = base.count()
     out = {}
     for k, f in enumerate(fitted.features):

@@ -150,6 +150,20 @@ def test_manifest(spark, tmp_path):
     assert [r["unique_code"] for r in top.collect()] == ["u0", "u1", "u2"]
 
 
+def test_features_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def length(s):
+        made.add(1)
+        return float(len(s))
+
+    rows = [("COI", "AT" * (60 + i % 9)) for i in range(60)] + [("12S", "GC" * (60 + i % 9)) for i in range(60)]
+    df = classify.add_features(spark.createDataFrame(rows, "seq_type string, sequence string")).withColumn("length", F.udf(length, "double")("sequence"))
+    fitted = classify.train_classifier(df, trees=2)
+    assert sum(r["COI"] + r["12S"] for r in fitted.confusion.collect()) == 24 and made.value == 120
+    assert fitted.test.select("sequence", "predicted").count() == 24
+
+
 def test_classified_features_are_counted_once(spark):
     rows = [("COI", "AT" * (60 + i % 9)) for i in range(60)] + [("12S", "GC" * (60 + i % 9)) for i in range(60)]
     df = spark.createDataFrame(rows, "seq_type string, sequence string")
