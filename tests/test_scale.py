@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -173,3 +174,33 @@ def test_classified_features_are_counted_once(spark):
     assert "regexp" not in plan and plan.count("replace(") == 4
     got = {k: v for k, v in classify.add_features(spark.createDataFrame([(None,), ("ACGGNT",)], "sequence string")).collect()[1].asDict().items()}
     assert (got["length"], got["gc_content"], got["gc_skew"]) == (6, 3 / 5, 1 / 3)
+
+
+def test_neighbour_joining_of_many_tips():
+    """The joins are those of a plain version, and take well under the seconds of reading all pairs at each of them."""
+    draw = np.random.default_rng(3)
+
+    def plain(d):
+        nodes, out = list(range(len(d))), []
+        while len(nodes) > 4:
+            m, t = len(nodes), d.sum(0)
+            q = (m - 2) * d - t[:, None] - t[None, :]
+            np.fill_diagonal(q, np.inf)
+            i, j = sorted(divmod(int(q.argmin()), m))
+            new = (d[i] + d[j] - d[i, j]) / 2
+            keep = [k for k in range(m) if k not in (i, j)]
+            out.append((nodes[i], nodes[j]))
+            d = np.block([[d[np.ix_(keep, keep)], new[keep][:, None]], [new[keep][None, :], np.zeros((1, 1))]])
+            nodes = [nodes[k] for k in keep] + [len(labels) + len(out) - 1]
+        return out
+
+    for n in (6, 70, 200):
+        x, labels = draw.random((n, 6)), [f"t{i}" for i in range(n)]
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        edges = phylogeny.neighbour_joining((d + d.T) / 2, labels).edges
+        assert [(edges[2 * k][1], edges[2 * k + 1][1]) for k in range(n - 4)] == plain((d + d.T) / 2)
+    x = draw.random((3000, 6))
+    d = np.sqrt(sum((x[:, None, k] - x[None, :, k]) ** 2 for k in range(6)))
+    began = time.process_time()
+    assert len(phylogeny.neighbour_joining(d, [""] * 3000).edges) == 2 * 3000 - 3
+    assert time.process_time() - began < 30
